@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import knn_join, near_dedup, packing, quality, suffix_dedup, token_counts
+from . import chat, knn_join, near_dedup, packing, quality, suffix_dedup, token_counts, warc
 from .util import read_table
 
 TOKEN_LIMIT = 512
@@ -27,6 +27,14 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversation_digests(chat.with_planted(spark, read_table(spark, sf_dir, "conversations")))
+
+
+def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op6_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_join.top_k(read_table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024)
 
@@ -44,8 +52,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op6_voronoi_knn, op7_minhash_near_dedup, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_chat_format, op5_warc_chunks, op6_voronoi_knn, op7_minhash_near_dedup, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.ORACLE_SQL, "op6_voronoi_knn": knn_join.ORACLE_SQL}
+    return {"op1_quality_rules": quality.ORACLE_SQL, "op3_chat_format": chat.ORACLE_SQL, "op5_warc_chunks": warc.ORACLE_SQL, "op6_voronoi_knn": knn_join.ORACLE_SQL}
