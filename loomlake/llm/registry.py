@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, knn_join, near_dedup, packing, quality, suffix_dedup, token_counts, warc
+from . import chat, knn_join, near_dedup, packing, quality, sentencepieces, suffix_dedup, token_counts, warc
 from .util import read_table
 
 TOKEN_LIMIT = 512
@@ -43,6 +43,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), TOKEN_LIMIT)
 
@@ -52,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_chat_format, op5_warc_chunks, op6_voronoi_knn, op7_minhash_near_dedup, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_chat_format, op5_warc_chunks, op6_voronoi_knn, op7_minhash_near_dedup, op8_sentencepiece, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
