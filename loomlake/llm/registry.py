@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, knn_join, near_dedup, packing, quality, sentencepieces, suffix_dedup, token_counts, warc
+from . import chat, knn_join, licenses, near_dedup, packing, quality, sentencepieces, suffix_dedup, token_counts, warc
 from .util import read_table
 
 TOKEN_LIMIT = 512
@@ -31,6 +31,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.with_planted(spark, read_table(spark, sf_dir, "conversations")))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -56,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_chat_format, op5_warc_chunks, op6_voronoi_knn, op7_minhash_near_dedup, op8_sentencepiece, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_chat_format, op4_license_scan, op5_warc_chunks, op6_voronoi_knn, op7_minhash_near_dedup, op8_sentencepiece, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
