@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -44,7 +44,7 @@ def _sketch(sorted_set: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_hash (null for none), bands (first collection, then second) and sketch of every row."""
+    """doc_id, text_hash, n_shingles, set_hash (null for none), bands (first collection, then second) and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -61,12 +61,12 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
                 rows = iter(bands.T.view(np.int64).tolist())
                 out = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), next(rows), _sketch(s)) if len(s) else (None, None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.list_(pa.int64()), pa.binary())))],
-                    names=["doc_id", "n_shingles", "set_hash", "bands", "sketch"],
+                    [batch.column("id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.list_(pa.int64()), pa.binary())))],
+                    names=["doc_id", "text_hash", "n_shingles", "set_hash", "bands", "sketch"],
                 )
 
-    rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_hash binary, bands array<bigint>, sketch binary")
+    rows = docs.select(docs[id_col].cast("bigint").alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("text_hash"), docs[text_col].alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, set_hash binary, bands array<bigint>, sketch binary")
 
 
 def _keys(reps: DataFrame) -> DataFrame:
@@ -121,8 +121,19 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def filter_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: of those with the least id one whose text's hash is least. Null ids all stay."""
+    found = cut(near_duplicates(docs, words, percent, id_col, text_col), "components")
+    out = found.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    kept = docs.join(out, (docs[id_col] == F.col("_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_hash")), "left_anti")
+    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    return kept.withColumn("__n", F.row_number().over(order)).filter((F.col("__n") == 1) | F.col(id_col).isNull()).drop("__n")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every row.
+    """doc_id, n_shingles, component_id, kept (doc_id = component_id) and text_hash of every row.
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing. Equal sets are always
     linked. Rows that share an id share its links. A null id links with nothing: its component is null and it is kept. An
@@ -156,6 +167,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             found = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     nodes = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("set_hash").alias("_hash"), F.coalesce("component", "rep").alias("component"))
-    out = sigs.select("doc_id", "n_shingles", "set_hash").join(nodes, F.col("set_hash") == F.col("_hash"), "left")
+    out = sigs.select("doc_id", "n_shingles", "set_hash", "text_hash").join(nodes, F.col("set_hash") == F.col("_hash"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, knn_join, licenses, near_dedup, packing, quality, sentencepieces, suffix_dedup, token_counts, warc
@@ -60,8 +61,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_chat_format, op4_license_scan, op5_warc_chunks, op6_voronoi_knn, op7_minhash_near_dedup, op8_sentencepiece, op9_token_counts, op10_packing)}
+    named = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_chat_format, op4_license_scan, op5_warc_chunks, op6_voronoi_knn, op7_minhash_near_dedup, op8_sentencepiece, op9_token_counts, op10_packing)}
+    return named | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.ORACLE_SQL, "op3_chat_format": chat.ORACLE_SQL, "op5_warc_chunks": warc.ORACLE_SQL, "op6_voronoi_knn": knn_join.ORACLE_SQL}
+    found = {
+        "op1_quality_rules": quality.ORACLE_SQL,
+        "op3_chat_format": chat.ORACLE_SQL,
+        "op5_warc_chunks": warc.ORACLE_SQL,
+        "op6_voronoi_knn": knn_join.ORACLE_SQL,
+        "pipeline": corpus_pipeline.ORACLE_SQL,
+    }
+    return {name: sql for name, sql in found.items() if sql}
