@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tokens import Pieces
+from .tokens import pieces
 from .util import byte_slices, cut
 
 SHARD_TOKENS = 1 << 18
@@ -33,7 +33,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
     """doc_id, source, n, ids: each whole text's ids and end_id, as unsigned 32-bit little-endian numbers (16-bit while they fit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Pieces(tokenizer, lengths_only=False), np.array([end_id], "<u4").tobytes()
+        encoder, end = pieces(tokenizer, lengths_only=False), np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for batch in byte_slices(whole, "text", SLICE_BYTES):
                 ids = [np.frombuffer(b"".join([*x, end]), "<u4") for x in encoder.each(batch.column("text").to_pylist())]

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .tokens import Pieces
+from .tokens import pieces
 from .util import byte_slices
 
 SLICE_BYTES = 4 << 20
@@ -21,7 +21,7 @@ def _library_counts(path: str):
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in model.encode([t or "" for t in texts], num_threads=1)]
-    encoder = Pieces(path, lengths_only=True)
+    encoder = pieces(path, lengths_only=True)
     return lambda texts: [sum(x) for x in encoder.each(texts)]
 
 

@@ -14,6 +14,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterable
+from functools import cache
 
 #: White space to Python besides blank, tab, CR and LF.
 _RARE = "\x0b\x0c\x1c-\x1f\x85\xa0  -     　"
@@ -82,9 +83,13 @@ class Pieces:
             self._encode(list(new))
         get = self.known.__getitem__
         out = [list(map(get, s)) for s in split]
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        else:
-            for piece in [p for p in new if len(p) > CACHE_PIECE_CHARS]:
-                del self.known[piece]
+        full = len(self.known) > CACHE_PIECES  # then those seen first stay, which are the commoner ones
+        for piece in new if full else [p for p in new if len(p) > CACHE_PIECE_CHARS]:
+            del self.known[piece]
         return out
+
+
+@cache
+def pieces(path: str, lengths_only: bool) -> Pieces:
+    """One for each worker process, as what is known serves the next tasks too."""
+    return Pieces(path, lengths_only)
