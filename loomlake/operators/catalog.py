@@ -6,18 +6,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 OK, MISSING, ERROR = "ok", "missing", "error"
 #: Seconds by which a file's time may differ without a change.
 TOLERANCE = 2.0
 
-IMAGES = T.StructType.fromDDL(
+IMAGES = (
     "id bigint, path string, key string, mtime double, size bigint, width int, height int, phash array<bigint>, dhash array<bigint>, ahash array<bigint>, "
     "whash array<bigint>, color array<float>, thumb string, status string, error string, indexed_at timestamp"
 )
-VECTORS = T.StructType.fromDDL("image_id bigint, vec array<float>, embedder string, dim int")
-SETTINGS = T.StructType.fromDDL("ns string, key string, value string")
+VECTORS = "image_id bigint, vec array<float>, embedder string, dim int"
+SETTINGS = "ns string, key string, value string"
 
 
 def is_changed(size: Column, old_size: Column, mtime: Column, old_mtime: Column) -> Column:

@@ -70,10 +70,11 @@ def extract(images: DataFrame, hash_size: int = 8, thumb: int = 256, embed: Call
     embed = embed or (lambda batch: np.stack([imaging.embedding(rgb) for rgb in batch]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in SIGNATURES.split(", ")]
         for batch in batches:
             rows = []
             for r in batch.itertuples():
-                row = {"key": r.key, "path": r.path, "status": "error", "error": "cannot be decoded"}
+                row = dict.fromkeys(names) | {"key": r.key, "path": r.path, "status": "error", "error": "cannot be decoded"}
                 if r.height > 0 and r.height * r.width <= MOST_PIXELS:
                     try:
                         rgb = imaging.rgb_of(r.height, r.width, r.nChannels, r.data)
@@ -83,7 +84,6 @@ def extract(images: DataFrame, hash_size: int = 8, thumb: int = 256, embed: Call
                     except Exception as e:  # one bad image must not end the run
                         row["error"] = str(e)[:500]
                 rows.append(row)
-            names = [c.split()[0] for c in SIGNATURES.split(", ")]
             yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("width", "height", "thumb_width", "thumb_height")})
 
     return images.select(normalize_key(F.col("path")).alias("key"), "path", "height", "width", "nChannels", "data").mapInPandas(run, SIGNATURES)

@@ -44,7 +44,7 @@ class Library:
     def write(self, name: str, df: DataFrame) -> None:
         held = self.versions(name)
         version = held[-1] + 1 if held else 1
-        cast = df.select(*(F.col(f.name).cast(f.dataType) for f in TABLES[name]))
+        cast = df.select(*(F.col(c).cast(kind) for c, kind in (x.split(" ") for x in TABLES[name].split(", "))))
         cast.write.mode("overwrite").parquet(f"{self.base}/{name}/v{version}")
         path, fs = self._folder(name)
         for old in held[: -KEPT_VERSIONS + 1]:
