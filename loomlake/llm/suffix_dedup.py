@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import Prefix, mix
-from .util import byte_slices, cut, small
+from .util import byte_slices, cut, fresh, small
 
 LENGTH = 100
 GRAM = 32
@@ -316,12 +316,13 @@ def _removed(size: int, held: list[dict] | None) -> np.ndarray:
     return np.stack((both[first, 0], end[np.append(first[1:], len(both)) - 1]), axis=1)
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with d, th and runs, the covered stretches, under names of their own."""
-    rows = _identified(docs, id_col, text_col)
-    held = covered_windows(rows).groupBy(F.col("d").alias("__d"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("a", "n")).alias("__runs"))
+def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """docs with the covered stretches of each, and that column's name."""
+    d, th, runs = fresh(docs, "d", "th", "runs")
+    found = covered_windows(_identified(docs, id_col, text_col)).groupBy(F.col("d").alias(d), F.col("th").alias(th)).agg(F.collect_list(F.struct("a", "n")).alias(runs))
     text = F.coalesce(docs[text_col], F.lit(""))
-    return docs.join(held, (F.coalesce(docs[id_col].cast("bigint"), F.lit(_NO_ID)) == F.col("__d")) & (F.xxhash64(text) == F.col("__th")), "left")
+    same = (F.coalesce(docs[id_col].cast("bigint"), F.lit(_NO_ID)) == F.col(d)) & (F.xxhash64(text) == F.col(th))
+    return docs.join(found, same, "left").drop(d, th), runs
 
 
 def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,17 +349,18 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
-    return _joined(rows, "doc_id", "text").select("doc_id", "text", F.col("__runs").alias("runs")).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return _joined(rows, "doc_id", "text")[0].select("doc_id", "text", "runs").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the covered bytes out of their texts, whole characters only; n_chars, where there is one, follows."""
     at = docs.columns.index(text_col)
+    joined, runs = _joined(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, held in zip(batch.column(text_col).to_pylist(), batch.column("__runs").to_pylist()):
+            for text, held in zip(batch.column(text_col).to_pylist(), batch.column(runs).to_pylist()):
                 if text and held:
                     data, last, kept = text.encode("utf-8", "surrogatepass"), 0, []
                     for b, e in _removed(len(data), held).tolist():
@@ -370,7 +372,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         last = e
                     text = b"".join([*kept, data[last:]]).decode("utf-8", "surrogatepass")
                 out.append(text)
-            yield batch.drop_columns(["__runs"]).set_column(at, batch.schema.field(text_col), pa.array(out, batch.schema.field(text_col).type))
+            yield batch.drop_columns([runs]).set_column(at, batch.schema.field(text_col), pa.array(out, batch.schema.field(text_col).type))
 
-    left = _joined(docs, id_col, text_col).select(*(docs[c] for c in docs.columns), "__runs").mapInArrow(run, docs.schema)
+    left = joined.mapInArrow(run, docs.schema)
     return left.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
