@@ -1,7 +1,7 @@
 """Licence scans: a trained paragraph classifier over sparse word n-grams, with template comparison.
 
 A multinomial logistic regression over the presence of word n-grams is trained on pieces of the templates below (a class
-for each family) and on at most NEGATIVES paragraphs of the corpus, those with the least hashes (class none). Only
+for each family) and on at most NEGATIVES different paragraphs of the corpus, chosen by their hashes (class none). Only
 n-grams with a word that no such paragraph has are features, so a paragraph without any of those words scores as none,
 and only texts that hold one are taken apart. Families need a probability that held-out pieces of templates reach, and
 the share of the paragraph's words that stand in the family's templates in threes must confirm it; else the family is unknown.
@@ -116,8 +116,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     spark = docs.sparkSession
     named = cut(_template_rows(spark), "license-templates")
     told = F.array(*(F.lit(x) for x in sorted({r.x for r in named.filter("not held").select(F.explode("w").alias("x")).distinct().collect()})))  # words of the constant templates
-    hashed = paragraphs(docs, id_col, text_col).select("paragraph").filter(F.length("paragraph") > 0)
-    sample = hashed.withColumn("h", F.xxhash64("paragraph", F.lit(5))).orderBy("h", "paragraph").limit(NEGATIVES)
+    hashed = paragraphs(docs, id_col, text_col).select("paragraph").filter(F.length("paragraph") > 0).withColumn("h", F.xxhash64("paragraph", F.lit(5)))
+    every = max(1, docs.count() // NEGATIVES)  # some paragraphs for each of NEGATIVES documents, however many there are
+    sample = hashed.filter(F.pmod("h", F.lit(every)) == 0).distinct().orderBy("h", "paragraph").limit(NEGATIVES)
     sample = cut(sample.select(words(F.col("paragraph")).alias("w")).filter(F.size("w") > 0).withColumn("own", F.size(F.array_intersect("w", told)) / F.size(F.array_distinct("w"))), "license-sample")
     plain = sample.filter("own < 0.5").select(F.lit("none").alias("family"), "w", F.lit(False).alias("held"), F.lit(1.0).alias("weight"))  # not itself a licence line
     common = plain.select(F.explode("w").alias("x")).distinct()

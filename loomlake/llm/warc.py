@@ -50,7 +50,10 @@ def _head(page: int | None, url: str | None, digest: str, size: int, first: int
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     kind = "response" if first is None else "revisit"
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(page, digest)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}"]
-    lines += [f"WARC-Target-URI: {_clean(url)}"] * (url is not None) + [f"X-Page-ID: {page}"] * (page is not None)
+    if url is not None:
+        lines.append(f"WARC-Target-URI: {_clean(url)}")
+    if page is not None:
+        lines.append(f"X-Page-ID: {page}")
     if first is not None:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(first, digest)}", f"X-Refers-To-Page-ID: {first}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + (size if first is None else 0)}"]
