@@ -10,6 +10,7 @@ no special token holds such a place.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -26,6 +27,7 @@ WITHOUT_SPACE = re.compile(rf"{_LETTERS}|[^ \t\r\n]+")
 _INSIDE = re.compile(r"(?<=[A-Za-z぀-ヿ一-鿿가-힣])(?=[0-9,.;:!?()。，、！？])")
 
 LONG_PIECE = 4096
+TOGETHER = 64
 BATCH_BYTES = 1 << 20
 CACHE_PIECES = 1_000_000
 CACHE_PIECE_CHARS = 48
@@ -41,6 +43,17 @@ def _short(piece: str) -> list[str]:
     return [*out, piece[begin:]]
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters are Latin-1, which composition leaves alone and lower case maps one to one."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Pieces:
     """Encodes texts by their distinct pieces; what each piece gives is kept while there are not too many."""
 
@@ -51,18 +64,42 @@ class Pieces:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        kept_space = '"use_regex":true' in self.library.to_str().replace(" ", "")
+        settings = json.loads(self.library.to_str())
+        kept_space = '"use_regex": true' in json.dumps(settings)
+        self.lowers = '"type": "Lowercase"' in json.dumps(settings["normalizer"])
+        suffix = settings["model"].get("end_of_word_suffix")
+        self.ends = {i for token, i in self.library.get_vocab(with_added_tokens=False).items() if suffix and token.endswith(suffix)}
         self.split = (WITH_SPACE if kept_space else WITHOUT_SPACE).findall
         self.value = (lambda ids: len(ids)) if lengths_only else (lambda ids: array("I", ids).tobytes())
         self.known: dict[str, int | bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
+        if self.lowers and "<|" not in text and _latin(text):  # no special token can arise, and all lower it alike
+            text = text.lower()
         found = self.split(text)
         if len(text) > LONG_PIECE and max(map(len, found), default=0) > 2 * LONG_PIECE:
             return [x for piece in found for x in (_short(piece) if len(piece) > 2 * LONG_PIECE else [piece])]
         return found
 
+    def _encode_words(self, words: list[str]) -> None:
+        """Words of letters only are encoded TOGETHER, with blanks between; a word ends with an id that says so."""
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for at in range(0, len(groups), BATCH_BYTES // 1024):
+            some = groups[at : at + BATCH_BYTES // 1024]
+            for group, e in zip(some, self.library.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False)):
+                begin, word, ids = 0, iter(group), e.ids
+                for i, x in enumerate(ids):
+                    if x in self.ends:
+                        self.known[next(word)] = self.value(ids[begin : i + 1])
+                        begin = i + 1
+                if next(word, None) is not None or begin != len(ids):
+                    raise ValueError("words and ids do not match")
+
     def _encode(self, pieces: list[str]) -> None:
+        if self.ends:
+            words = [p for p in pieces if len(p) <= CACHE_PIECE_CHARS and p.isalpha() and _latin(p)]
+            self._encode_words(words)
+            pieces = [p for p in pieces if p not in self.known]
         pieces.sort(key=len)
         begin = total = 0
         for i, piece in enumerate([*pieces, None]):
