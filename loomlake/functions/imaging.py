@@ -48,9 +48,9 @@ def _bits(over: np.ndarray) -> list[int]:
     return np.packbits(flat).view(">u8").astype(np.uint64).view(np.int64).tolist()
 
 
-def image_hash(rgb: np.ndarray, algorithm: str = "phash", size: int = 8) -> list[int]:
-    """Words of size * size bits."""
-    grey = luma(rgb).astype(float)
+def image_hash(rgb: np.ndarray, algorithm: str = "phash", size: int = 8, grey: np.ndarray | None = None) -> list[int]:
+    """Words of size * size bits. grey is the image's luma, if it is known."""
+    grey = luma(rgb).astype(float) if grey is None else grey
     if algorithm == "ahash":
         px = resized(grey, size, size)
         return _bits(px > px.mean())
@@ -72,14 +72,14 @@ def image_hash(rgb: np.ndarray, algorithm: str = "phash", size: int = 8) -> list
 
 def hsv(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hue from 0 to 179, saturation and value from 0 to 255."""
-    c = rgb.astype(float)
-    top, low = c.max(2), c.min(2)
-    span = top - low
-    r, g, b = (c[:, :, i] for i in range(3))
-    some = np.maximum(span, 1e-9)
-    hue = np.where(top == r, (g - b) / some, np.where(top == g, 2 + (b - r) / some, 4 + (r - g) / some)) * 30
-    hue = np.where(span > 0, np.rint(hue) % 180, 0)
-    return hue.astype(int), np.rint(np.where(top > 0, 255 * span / np.maximum(top, 1), 0)).astype(int), top.astype(int)
+    r, g, b = (np.ascontiguousarray(rgb[:, :, i]).astype(np.float32) for i in range(3))
+    top = np.maximum(np.maximum(r, g), b)
+    span = top - np.minimum(np.minimum(r, g), b)
+    some = np.maximum(span, np.float32(1e-9))
+    hue = np.where(top == r, g - b, np.where(top == g, b - r, r - g)) / some
+    hue += np.where(top == r, 0, np.where(top == g, 2, 4)).astype(np.float32)
+    hue = np.where(span > 0, np.rint(hue * 30).astype(np.int32) % 180, 0)
+    return hue, np.rint(255 * span / np.maximum(top, 1)).astype(np.int32), top.astype(np.int32)
 
 
 def color_histogram(rgb: np.ndarray) -> np.ndarray:
@@ -89,7 +89,7 @@ def color_histogram(rgb: np.ndarray) -> np.ndarray:
     return bins / max(bins.sum(), 1)
 
 
-def embedding(rgb: np.ndarray) -> np.ndarray:
+def embedding(rgb: np.ndarray, color: np.ndarray | None = None) -> np.ndarray:
     """Standardised grey grid, orientations of edges by cell, colours: 256 + 128 + 72 numbers."""
     grey = luma(rgb).astype(float)
     grid = resized(grey, GRID, GRID).ravel()
@@ -104,7 +104,7 @@ def embedding(rgb: np.ndarray) -> np.ndarray:
     cell = (np.arange(64)[:, None] // side) * CELLS + np.arange(64)[None, :] // side
     found = np.bincount((cell * ORIENTATIONS + np.minimum(turn.astype(int), ORIENTATIONS - 1)).ravel(), weights=np.hypot(dx, dy).ravel(), minlength=CELLS * CELLS * ORIENTATIONS)
     length = np.linalg.norm(found)
-    return np.concatenate((grid, found / length if length > 0 else found, color_histogram(rgb))).astype(np.float32)
+    return np.concatenate((grid, found / length if length > 0 else found, color_histogram(rgb) if color is None else color)).astype(np.float32)
 
 
 def turned(rgb: np.ndarray) -> list[np.ndarray]:

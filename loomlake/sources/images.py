@@ -67,7 +67,6 @@ def decode(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def extract(images: DataFrame, hash_size: int = 8, thumb: int = 256, embed: Callable[[list[np.ndarray]], np.ndarray] | None = None) -> DataFrame:
     """All signatures of each decoded image; one that cannot be decoded becomes a row with status error."""
-    embed = embed or (lambda batch: np.stack([imaging.embedding(rgb) for rgb in batch]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SIGNATURES.split(", ")]
@@ -79,8 +78,10 @@ def extract(images: DataFrame, hash_size: int = 8, thumb: int = 256, embed: Call
                     try:
                         rgb = imaging.rgb_of(r.height, r.width, r.nChannels, r.data)
                         w, h, px = imaging.thumbnail(rgb, thumb)
-                        row |= {a: imaging.image_hash(rgb, a, hash_size) for a in imaging.ALGORITHMS}
-                        row |= {"width": r.width, "height": r.height, "color": imaging.color_histogram(rgb).tolist(), "vec": embed([rgb])[0].tolist(), "thumb_width": w, "thumb_height": h, "thumb_rgb": px, "status": "ok", "error": None}
+                        grey, color = imaging.luma(rgb).astype(float), imaging.color_histogram(rgb)
+                        row |= {a: imaging.image_hash(rgb, a, hash_size, grey) for a in imaging.ALGORITHMS}
+                        vec = embed([rgb])[0] if embed else imaging.embedding(rgb, color)
+                        row |= {"width": r.width, "height": r.height, "color": color.tolist(), "vec": vec.tolist(), "thumb_width": w, "thumb_height": h, "thumb_rgb": px, "status": "ok", "error": None}
                     except Exception as e:  # one bad image must not end the run
                         row["error"] = str(e)[:500]
                 rows.append(row)
@@ -102,8 +103,9 @@ def query_variants(images: DataFrame, algorithm: str = "phash", hash_size: int =
                 if r.height <= 0:
                     continue
                 rgb = imaging.rgb_of(r.height, r.width, r.nChannels, r.data)
+                color = imaging.color_histogram(rgb)  # turns leave it as it is
                 for i, v in enumerate(imaging.turned(rgb) if tta else [rgb]):
-                    rows.append((r.query_id, i, imaging.image_hash(v, algorithm, hash_size), imaging.image_hash(v, "phash", hash_size), imaging.embedding(v).tolist(), imaging.color_histogram(rgb).tolist() if i == 0 else None))
+                    rows.append((r.query_id, i, imaging.image_hash(v, algorithm, hash_size), imaging.image_hash(v, "phash", hash_size), imaging.embedding(v, color).tolist(), color.tolist() if i == 0 else None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in QUERIES.split(", ")])
 
     return images.select("query_id", "height", "width", "nChannels", "data").mapInPandas(run, QUERIES)
