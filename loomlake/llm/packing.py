@@ -22,7 +22,7 @@ from .util import byte_slices, cut
 
 SHARD_TOKENS = 1 << 18
 QUANTUM = 256
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 #: Shards whose counts are summed up in one go; sums of such blocks are summed up after that.
 BLOCK = 1024
 
@@ -33,10 +33,11 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
     """doc_id, source, n, ids: each whole text's ids and end_id, as unsigned 32-bit little-endian numbers (16-bit while they fit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = pieces(tokenizer, lengths_only=False), np.array([end_id], "<u4").tobytes()
+        encoder, end = pieces(tokenizer, lengths_only=False), np.array([end_id], "<u4")
         for whole in batches:
             for batch in byte_slices(whole, "text", SLICE_BYTES):
-                ids = [np.frombuffer(b"".join([*x, end]), "<u4") for x in encoder.each(batch.column("text").to_pylist())]
+                found, at = encoder.ids(batch.column("text").to_pylist())
+                ids = [np.concatenate((found[a:b], end)) for a, b in zip(at[:-1], at[1:])]
                 kept = [(x.astype("<u2") if x.max() < 1 << 16 else x).tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array([len(x) for x in ids], pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "source", "n", "ids"])
 
