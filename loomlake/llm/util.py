@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 #: Rows up to which a table is broadcast; each such table has narrow rows of fixed width, so this bounds its size.
 BROADCAST_ROWS = 100_000
 
@@ -32,8 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@cache
+def _own_folder(folder: str, session: SparkSession) -> str:
+    """The application's folder, which goes when the driver's Python ends; results are read from it until then."""
+
+    def remove() -> None:
+        try:
+            path = session._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(session._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        except Exception as e:  # the JVM has gone first
+            log.warning("left %s: %s", folder, e)
+
+    atexit.register(remove)
+    return folder
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(f'{shared_dir(spark)}/loomlake/{spark.sparkContext.applicationId}', spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
