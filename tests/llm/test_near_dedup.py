@@ -46,11 +46,8 @@ def family(seed, copies, size=120):
     return [edited(rng, base, rng.randrange(8)) for _ in range(copies)]
 
 
-@pytest.mark.parametrize("few,levels", [(40, 3), (1, 2)])
 @pytest.mark.parametrize("words", [4, 5])
-def test_components_follow_brute_force(spark, monkeypatch, words, few, levels):
-    monkeypatch.setattr(N, "FEW", few)
-    monkeypatch.setattr(N, "LEVELS", levels)
+def test_components_follow_brute_force(spark, words):
     texts = family(1, 70) + family(2, 30, 60) + family(3, 10, 500)
     passage = " ".join(f"p{i}" for i in range(60))
     rng = random.Random(8)
@@ -79,7 +76,11 @@ def test_empty_table(spark):
     assert N.filter_documents(documents(spark, [])).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, monkeypatch, few):
+    from loomlake.llm import components as module
+
+    monkeypatch.setattr(module, "FEW_LINKS", few)
     links = [(1, 2), (2, 3), (3, 1), (7, 7), (9, 8), *((i, i + 1) for i in range(100, 160))]
     got = {(r.node, r.component) for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
     assert got == {(2, 1), (3, 1), (9, 8), *((i, 100) for i in range(101, 161))}
@@ -96,6 +97,21 @@ def test_words_in_blocks(monkeypatch):
     assert [len(s) for s in shingle_sets([None, "a", "a b c d e", "b b b b b b"], 4)] == [0, 1, 2, 1]
 
 
+def test_maps_bound_what_is_shared(spark):
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2)
+    leader = np.sort(pool[:40])
+    rows, sets = [], []
+    for i in range(25):
+        y = np.unique(pool[rng.random(60) < 0.7])
+        beside, lacking = np.setdiff1d(y, leader), np.setdiff1d(leader, y)
+        rows.append((i, len(leader), len(y), len(y) - len(beside), N._map(beside), N._map(lacking)))
+        sets.append(set(y.tolist()))
+    table = spark.createDataFrame(rows, "b bigint, na bigint, nb bigint, common bigint, omap array<bigint>, lmap array<bigint>")
+    for r in table.alias("l").join(table.alias("r")).selectExpr("l.b as x", "r.b as y", f"{N.MOST} as most").collect():
+        assert len(sets[r.x] & sets[r.y]) <= r.most <= len(sets[r.x] & sets[r.y]) + 12
+
+
 def test_miss_probability():
     miss = lambda s: 1 - (1 - (1 - s**N.ROWS) ** N.COLLECTION) ** 2
     assert miss(0.8) < 3e-4 and miss(0.9) < 1e-6 and np.diff([miss(x) for x in (0.8, 0.9, 0.95)]).max() < 0
