@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .rolling import mix
 from .shingles import shingle_sets
-from .util import byte_slices, cut, fresh, small
+from .util import byte_slices, cut, fresh, give_back, small
 
 COLLECTION = 9
 ROWS = 2
@@ -78,6 +78,8 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
                     [batch.column("id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))))],
                     names=["doc_id", "text_hash", "n_shingles", "set_hash", "bands", "sketch"],
                 )
+                del sets, full, joined, out
+            give_back()
 
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("text_hash"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, set_hash binary, bands array<bigint>, sketch array<bigint>")

@@ -12,9 +12,9 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to n."""
-    if base not in _POWERS or len(_POWERS[base][0]) <= n:
-        size = 1 << max(16, n.bit_length())
+    """The first n powers of the base and of its inverse, at least."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)

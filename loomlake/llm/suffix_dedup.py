@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import Prefix, mix
-from .util import byte_slices, cut, fresh, small
+from .util import byte_slices, cut, fresh, give_back, small
 
 LENGTH = 100
 GRAM = 32
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = (1 << 20) - LENGTH  # so that tables of powers have 1 << 20 places
 #: Contexts in one batch that make an anchor frequent, and how many such anchors are dealt by context.
 OFTEN = 8
 FREQUENT = 10_000
@@ -110,6 +110,7 @@ def frequent_anchors(rows: DataFrame) -> DataFrame:
                 g, n = np.unique(g, return_counts=True)
                 g, n = g[n >= OFTEN], n[n >= OFTEN]
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n, pa.int64())], names=["g", "n"])
+            give_back()
 
     found = rows.select("text").mapInArrow(run, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
     return found.orderBy(F.desc("n"), "g").limit(FREQUENT).select("g")
@@ -132,6 +133,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
                 kind = np.where(again, COVERED, ANCHORED).astype(np.int8)
                 k = np.where(again, mix(x + a.astype(np.uint64)), g)
                 yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (k.view(np.int64), g.view(np.int64), x.view(np.int64), d, th, a, n.astype(np.int32), kind)], names=["k", "g", "x", "d", "th", "a", "n", "kind"])
+            give_back()
 
     return rows.mapInArrow(run, "k bigint, g bigint, x bigint, d bigint, th bigint, a bigint, n int, kind tinyint")
 

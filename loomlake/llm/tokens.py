@@ -33,7 +33,7 @@ _INSIDE = re.compile(r"(?<=[A-Za-z぀-ヿ一-鿿가-힣])(?=[0-9,.;:!?()。，
 LONG_PIECE = 4096
 TOGETHER = 64
 BATCH_BYTES = 1 << 20
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 CACHE_PIECE_CHARS = 48
 
 
