@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,11 @@ def nearest_by_cosine(queries: DataFrame, vectors: DataFrame, k: int) -> DataFra
     of each batch of vectors, so k rows for each query and batch are shuffled, not all pairs. Lengths other than the
     queries' don't match.
     """
+    return _nearest(queries, vectors, k)
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int, alike: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """As nearest_by_cosine; alike, if given, says from unit queries and unit vectors which pairs of them count."""
     spark = vectors.sparkSession
     rows = queries.select("query_id", "variant", "vec").filter(F.col("vec").isNotNull())
     blocks = max(1, -(-rows.count() // QUERY_BLOCK))
@@ -43,14 +49,19 @@ def nearest_by_cosine(queries: DataFrame, vectors: DataFrame, k: int) -> DataFra
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, which=which, wanted=wanted) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                batch = batch.filter(pa.array([v is not None and len(v) == wanted.shape[1] for v in batch.column("vec")], pa.bool_()))
+                batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column("vec")), wanted.shape[1]), False))
                 if not batch.num_rows:
                     continue
-                scores = wanted @ _unit(_matrix(batch.column("vec"))).T
+                unit = _unit(_matrix(batch.column("vec")))
+                scores = wanted @ unit.T
+                if alike:
+                    scores[~alike(wanted, unit)] = -np.inf
                 image = batch.column("image_id").to_numpy()
                 order = np.lexsort((np.broadcast_to(image, scores.shape), -scores), axis=1)[:, :k]
                 row = np.repeat(np.arange(len(order)), order.shape[1])
                 col = order.ravel()
+                met = scores[row, col] > -np.inf
+                row, col = row[met], col[met]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), which.take(pa.array(row)), pa.array(image[col]), pa.array(scores[row, col])], names=["query_id", "variant", "image_id", "cosine"])
 
         near = vectors.select("image_id", "vec").mapInArrow(run, "query_id bigint, variant int, image_id bigint, cosine double")
@@ -61,16 +72,21 @@ def nearest_by_cosine(queries: DataFrame, vectors: DataFrame, k: int) -> DataFra
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def nearest_approximate(queries: DataFrame, vectors: DataFrame, k: int, bucket: float = 0.5, tables: int = 4, radius: float = 1.2) -> DataFrame:
-    """query_id, image_id, cosine, rank by random projections of unit vectors (cosine is 1 - d*d/2); some may be missed."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def nearest_approximate(queries: DataFrame, vectors: DataFrame, k: int, bucket: float = 0.5, tables: int = 4) -> DataFrame:
+    """query_id, image_id, cosine, rank: the k best of the vectors that share a bucket of a random projection with the query.
 
-    from ..functions.pixels import normalized
+    Some of the k nearest may be missed, but a query has k rows (or all vectors): one that meets fewer is answered exactly.
+    """
 
-    ready = lambda df, i: df.select(F.col(i).alias("id"), array_to_vector(normalized(F.col("vec").cast("array<double>"))).alias("f"))
-    left, right = ready(queries, "query_id"), ready(vectors, "image_id")
-    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="buckets", bucketLength=bucket, numHashTables=tables, seed=11).fit(right)
-    near = model.approxSimilarityJoin(left, right, radius, "d").select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("image_id"), (1 - F.col("d") * F.col("d") / 2).alias("cosine"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "image_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        planes = _unit(np.random.default_rng(11).normal(size=(tables, left.shape[1])))
+        met = np.zeros((len(left), len(right)), bool)
+        for plane in planes:
+            met |= np.floor(left @ plane / bucket)[:, None] == np.floor(right @ plane / bucket)
+        return met
+
+    wanted = queries.select("query_id", F.lit(0).alias("variant"), "vec")
+    near = _nearest(wanted, vectors, k, alike).persist()  # k narrow rows for each query, read three times
+    full = near.filter(F.col("rank") == k).select("query_id")
+    exact = nearest_by_cosine(wanted.join(full, "query_id", "left_anti"), vectors, k)
+    return near.join(full, "query_id", "left_semi").unionByName(exact).select("query_id", "image_id", "cosine", "rank")

@@ -57,6 +57,20 @@ def test_exact_neighbours(spark, monkeypatch):
     assert V.nearest_by_cosine(wanted.limit(0), rows, 4).count() == 0
 
 
+def test_approximate_neighbours_reach_recall_and_fill_k(spark):
+    x = np.random.default_rng(8).normal(size=(600, 64))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "image_id bigint, vec array<double>")
+    wanted = rows.filter("image_id % 10 = 0").select(F.col("image_id").alias("query_id"), "vec")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = {(q, int(i)) for q in range(0, 600, 10) for i in np.argsort(-(u @ u[q]))[:10]}
+    got = {(r.query_id, r.image_id) for r in V.nearest_approximate(wanted, rows, 10).collect()}
+    assert len(got) == 600  # k for each query
+    assert len(got & best) >= 0.9 * len(best)
+    short = {(r.query_id, r.image_id) for r in V.nearest_approximate(wanted, rows, 10, bucket=0.001, tables=1).collect()}
+    assert short == best  # hardly any pair meets: answered exactly
+    assert V.nearest_approximate(wanted, rows.limit(4), 10).count() == 4 * 60
+
+
 def scan_of(spark, rows):
     return spark.createDataFrame(rows, "key string, mtime double, size bigint")
 
