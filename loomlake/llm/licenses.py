@@ -1,14 +1,15 @@
 """Licence scans: a trained paragraph classifier over sparse word n-grams, with template comparison.
 
 A multinomial logistic regression over the presence of word n-grams is trained on pieces of the templates below (a class
-for each family) and on at most NEGATIVES different paragraphs of the corpus, chosen by their hashes (class none). Only
-n-grams with a word that no such paragraph has are features, so a paragraph without any of those words scores as none,
-and only texts that hold one are taken apart. Families need a probability that held-out pieces of templates reach, and
+for each family) and on at most NEGATIVES different paragraphs of the corpus, chosen by their hashes (class none). All
+n-grams of the templates are features and every paragraph with a word of the templates is scored; the sample decides only
+the fit. Families need a probability that held-out pieces of templates reach, and
 the share of the paragraph's words that stand in the family's templates in threes must confirm it; else the family is unknown.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -72,6 +73,8 @@ ROUNDS, PENALTY = 100, 0.0002
 #: Weight of a whole template against a piece; classes weigh the same together.
 WHOLE = 4.0
 MAX_FEATURES = 20_000
+#: Parts of the weights by their grams' hashes, so that a gram is compared with few others.
+WEIGHT_PARTS = 1024
 
 
 def words(text: Column) -> Column:
@@ -115,19 +118,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
 
     spark = docs.sparkSession
     named = cut(_template_rows(spark), "license-templates")
-    told = F.array(*(F.lit(x) for x in sorted({r.x for r in named.filter("not held").select(F.explode("w").alias("x")).distinct().collect()})))  # words of the constant templates
+    vocabulary = sorted(r.x for r in named.filter("not held").select(F.explode("w").alias("x")).distinct().collect())  # words of the constant templates
+    told = F.array(*(F.lit(x) for x in vocabulary))
     hashed = paragraphs(docs, id_col, text_col).select("paragraph").filter(F.length("paragraph") > 0).withColumn("h", F.xxhash64("paragraph", F.lit(5)))
     every = max(1, docs.count() // NEGATIVES)  # some paragraphs for each of NEGATIVES documents, however many there are
     sample = hashed.filter(F.pmod("h", F.lit(every)) == 0).distinct().orderBy("h", "paragraph").limit(NEGATIVES)
     sample = cut(sample.select(words(F.col("paragraph")).alias("w")).filter(F.size("w") > 0).withColumn("own", F.size(F.array_intersect("w", told)) / F.size(F.array_distinct("w"))), "license-sample")
     plain = sample.filter("own < 0.5").select(F.lit("none").alias("family"), "w", F.lit(False).alias("held"), F.lit(1.0).alias("weight"))  # not itself a licence line
-    common = plain.select(F.explode("w").alias("x")).distinct()
-    anchors = cut(named.select(F.explode("w").alias("x")).distinct().join(common, "x", "left_anti"), "license-anchors")
-    anchor = sorted(r.x for r in anchors.collect())  # words of the constant templates
-    held = F.array(*(F.lit(x) for x in anchor)) if anchor else F.array().cast("array<string>")
-    featured = F.filter(all_grams(F.col("w")), lambda g: F.arrays_overlap(F.split(g, " "), held))
     label = F.array_position(F.array(*(F.lit(f) for f in FAMILIES)), F.col("family")).cast("double") - 1
-    rows = cut(named.unionByName(plain).select("family", "held", label.alias("label"), "w", featured.alias("grams"), (F.col("weight") / F.sum("weight").over(Window.partitionBy("family", "held"))).alias("weight")).coalesce(1), "license-training")
+    rows = cut(named.unionByName(plain).select("family", "held", label.alias("label"), "w", all_grams(F.col("w")).alias("grams"), (F.col("weight") / F.sum("weight").over(Window.partitionBy("family", "held"))).alias("weight")).coalesce(1), "license-training")
     counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=MAX_FEATURES).fit(rows.filter("not held and family <> 'none'"))
     spread = counter.transform(rows)
     model = LogisticRegression(maxIter=ROUNDS, regParam=PENALTY, family="multinomial", standardization=False, weightCol="weight").fit(spread.filter("not held").coalesce(1))
@@ -137,7 +136,27 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     scores = model.transform(spread.filter("held")).select("label", vector_to_array("probability").alias("p")).collect()  # of the held-out pieces
     own = sorted(r.p[int(r.label)] for r in scores)
     limit = own[min(len(own) - 1, math.floor((1 - HELD_OUT_PART) * len(own)))] if own else 0.5
-    return weights, {"bias": bias, "anchors": anchor, "limit": limit}
+    return weights, {"bias": bias, "words": vocabulary, "limit": limit}
+
+
+def _known_grams(kept: Column) -> Column:
+    """all_grams without those that hold a null, for words of which all outside the templates are null; no other gram can be a feature."""
+
+    def runs(n: int) -> Column:
+        at = F.transform(kept, lambda _, i: F.slice(kept, i + 1, F.lit(n)))
+        whole = F.filter(at, lambda r: (F.size(r) == n) & ~F.exists(r, lambda x: x.isNull()))
+        return F.array_distinct(F.transform(whole, lambda r: F.array_join(r, " ")))
+
+    return F.flatten(F.array(*(runs(n) for n in range(1, NGRAMS + 1))))
+
+
+def _weight_parts(weights: DataFrame) -> Column:
+    """A constant: for each of WEIGHT_PARTS, the grams with that hash and their weights."""
+    parts: list[list[str]] = [[] for _ in range(WEIGHT_PARTS)]
+    for r in weights.select("gram", "w", F.pmod(F.xxhash64("gram"), F.lit(WEIGHT_PARTS)).alias("part")).collect():  # MAX_FEATURES at most
+        parts[r.part].append(f"named_struct('gram', '{r.gram}', 'w', array({', '.join(f'{x!r}D' for x in r.w)}))")  # grams are of a-z, 0-9 and blanks
+    empty = "cast(array() as array<struct<gram: string, w: array<double>>>)"
+    return F.expr(f"array({', '.join(f'array({chr(44).join(p)})' if p else empty for p in parts)})")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,22 +168,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     weights, model = train(docs, id_col, text_col)
     spark = docs.sparkSession
-    anchors = F.array(*(F.lit(x) for x in model["anchors"]))
-    likely = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).filter(F.arrays_overlap(words(F.col("text")), anchors))
-    rows = paragraphs(likely, "doc_id", "text").withColumn("w", words(F.col("paragraph"))).filter(F.arrays_overlap("w", anchors))
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "license-lines")
-    hits = rows.select("row", F.explode(all_grams(F.col("w"))).alias("g")).join(F.broadcast(weights), F.col("g") == F.col("gram"))
-    scores = hits.groupBy("row").agg(*(F.round(F.sum(F.col("w")[i]), 9).alias(f"s{i}") for i in range(len(FAMILIES))))
-    logits = F.array(*(F.col(f"s{i}") + b for i, b in enumerate(model["bias"])))
-    scores = scores.select(F.col("row").alias("_row"), logits.alias("z")).withColumn("e", F.transform("z", lambda x: F.exp(x - F.array_max("z"))))
-    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    scores = scores.withColumn("p", F.transform("e", lambda x: x / total)).withColumn("best", F.array_position("p", F.array_max(F.slice("p", 1, len(TEMPLATES)))).cast("int"))
-    scores = scores.select("_row", F.element_at(F.array(*(F.lit(f) for f in TEMPLATES)), F.col("best")).alias("guess"), F.element_at("p", F.col("best")).alias("probability"), (1 - F.element_at("p", -1)).alias("licence"))
-    found = rows.join(scores, F.col("row") == F.col("_row")).filter(F.col("licence") >= LEAST_LICENSE)
+    own = lambda c, name: F.explode(F.array(c)).alias(name)  # noqa: E731 - worked out once, however often it is used
+    rows = paragraphs(docs, id_col, text_col).select("*", own(words(F.col("paragraph")), "w"))
+    rows = rows.select("*", own(F.transform("w", lambda x: F.when(x.isin(model["words"]), x)), "kept")).filter(F.exists("kept", lambda x: x.isNotNull()))
+    rows = rows.select("*", own(_known_grams(F.col("kept")), "grams")).filter(F.size("grams") > 0)
+    parts = _weight_parts(weights)
+    hits = F.flatten(F.transform("grams", lambda g: F.filter(F.element_at(parts, (F.pmod(F.xxhash64(g), F.lit(WEIGHT_PARTS)) + 1).cast("int")), lambda x: x["gram"] == g)))
+    total = F.aggregate(hits, F.array(*(F.lit(0.0) for _ in FAMILIES)), lambda a, x: F.zip_with(a, x["w"], lambda p, q: p + q))
+    bias = F.array(*(F.lit(b) for b in model["bias"]))
+    scores = rows.select("doc_id", "line", "paragraph", "w", own(F.zip_with(total, bias, lambda x, b: F.round(x, 9) + b), "z"))
+    scores = scores.select("*", own(F.transform("z", lambda x: F.exp(x - F.array_max("z"))), "e"))
+    scores = scores.select("*", own(F.aggregate("e", F.lit(0.0), lambda a, x: a + x), "total"))
+    scores = scores.filter(1 - F.element_at("e", -1) / F.col("total") >= LEAST_LICENSE)
+    scores = scores.withColumn("p", F.transform("e", lambda x: x / F.col("total"))).withColumn("best", F.array_position("p", F.array_max(F.slice("p", 1, len(TEMPLATES)))).cast("int"))
+    found = scores.select("doc_id", "line", "paragraph", "w", F.element_at(F.array(*(F.lit(f) for f in TEMPLATES)), F.col("best")).alias("guess"), F.element_at("p", F.col("best")).alias("probability"))
 
     known = _template_rows(spark).filter("not held").select("family", F.explode(grams(F.col("w"), NGRAMS)).alias("t")).groupBy(F.col("family").alias("_family")).agg(F.collect_set("t").alias("known"))
     found = found.join(F.broadcast(known), F.col("guess") == F.col("_family"))  # a row for each family
-    own = grams(F.col("w"), NGRAMS)
-    found = found.withColumn("similarity", F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(own, "known")), F.size(own)), F.lit(0.0)), 6))
+    threes = grams(F.col("w"), NGRAMS)
+    found = found.withColumn("similarity", F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(threes, "known")), F.size(threes)), F.lit(0.0)), 6))
     confirmed = (F.col("probability") >= model["limit"]) & (F.col("similarity") >= CONFIRMED)
     return found.select("doc_id", "line", F.when(confirmed, F.col("guess")).otherwise("unknown").alias("family"), F.round("probability", 6).alias("probability"), "similarity", confirmed.alias("confirmed"), "paragraph")

@@ -115,6 +115,13 @@ def test_licences(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
+def test_licences_whose_words_are_in_sampled_prose(spark):
+    museum = "The museum reserved all seats for residents whose rights had been upheld by the council."
+    rows = [(i, f"wort{i} satz{i % 7} zeile{i % 5}") for i in range(50)] + [(60, museum), (61, f"wort1 satz1\nAll rights reserved.\n{museum}")]
+    got = {(r.doc_id, r.line): r.family for r in licenses.scan(documents(spark, rows)).collect()}
+    assert got.get((61, 1)) == "Proprietary"
+
+
 def test_licences_held_out(spark):
     weights, model = licenses.train(documents(spark, [(i, f"wort{i} satz{i % 7} zeile{i % 5}") for i in range(50)]))
     assert weights.count() <= licenses.MAX_FEATURES and 0 < model["limit"] <= 1
