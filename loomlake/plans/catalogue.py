@@ -376,9 +376,9 @@ r as (select *, row_number() over (partition by query_id order by round(c, 12) d
 g as (select query_id, label, {', '.join(f'sum(same) filter (pos <= {k}) as s{k}' for k in E.CUTS)} from r group by all)"""
 
 
-def _quality(spark, sf_dir):
+def _quality(spark, sf_dir, asking: str = "image_id % 5 = 0"):
     rows = grids(spark, sf_dir)
-    wanted = rows.filter("image_id % 5 = 0").select(F.col("image_id").alias("query_id"), F.lit(0).alias("variant"), F.col("px").alias("vec"))
+    wanted = rows.filter(asking).select(F.col("image_id").alias("query_id"), F.lit(0).alias("variant"), F.col("px").alias("vec"))
     near = V.nearest_by_cosine(wanted, rows.withColumnRenamed("px", "vec"), max(E.CUTS) + 1)
     return E.quality(near, rows.select("image_id", F.col("label").alias("family")))
 
@@ -393,6 +393,20 @@ def family_recall(spark, sf_dir):
     return _quality(spark, sf_dir).select(*(F.round(f"recall_{k}", 6).alias(f"recall_{k}") for k in E.CUTS))
 
 
+# The same with every image as a query.
+QUALITY_ALL = QUALITY.replace("a.vec_id % 5 = 0 and ", "")
+
+
+@query("q34b_family_hit_at_k_all", QUALITY_ALL + " select count(*) as n, " + ", ".join(f"round(avg((s{k} > 0)::int), 6) as hit_{k}" for k in E.CUTS) + " from g")
+def family_hit_all(spark, sf_dir):
+    return _quality(spark, sf_dir, "true").select("n", *(F.round(f"hit_{k}", 6).alias(f"hit_{k}") for k in E.CUTS))
+
+
+@query("q35b_family_recall_at_k_all", QUALITY_ALL + " select " + ", ".join(f"round(avg(s{k} / others), 6) as recall_{k}" for k in E.CUTS) + " from g join f on f.label = g.label")
+def family_recall_all(spark, sf_dir):
+    return _quality(spark, sf_dir, "true").select(*(F.round(f"recall_{k}", 6).alias(f"recall_{k}") for k in E.CUTS))
+
+
 @query("q36_debounce_sessions", """with o as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) > interval 30 second then 1 else 0 end as b from events),
 s as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as g from o) select user_id, min(ts) as started, max(ts) as ended, count(*) as n_events from s group by user_id, g""")
 def debounce_sessions(spark, sf_dir):

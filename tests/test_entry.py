@@ -47,6 +47,10 @@ def test_query_and_sql_agree(spark, duck, name):
     assert rows == sorted((tuple(plain(r[i]) for i in order) for r in said.fetchall()), key=repr)
 
 
+def test_every_image_asks(spark):
+    assert catalogue.queries()["q34b_family_hit_at_k_all"](spark, SF).first().n == catalogue.grids(spark, SF).count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
