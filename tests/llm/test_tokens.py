@@ -67,6 +67,57 @@ def test_sentencepiece_backend(spark, tokenizers_path):
     assert sentencepieces.encode(documents(spark, []), path).count() == 0
 
 
+def test_markers_and_blanks_as_the_library_takes_them(tokenizers_path):
+    encoder = sentencepieces.Encoder(tokenizers_path("piece_bpe_32k.model"))
+    rng = random.Random(11)
+    texts = [" ▁ ", "▁ ", "▁▁", *("".join(rng.choice("ab ▁\n") for _ in range(rng.randrange(1, 24))) for _ in range(4000))]
+    for text, (ids, parity, back) in zip(texts, encoder.each(texts)):
+        assert parity and np.frombuffer(ids, "<u4").tolist() == encoder.other.encode(text), text
+        assert back == ("▁" not in text)
+
+
+def test_a_backend_that_differs_shows(tokenizers_path, monkeypatch):
+    monkeypatch.setattr(sentencepieces, "WHOLE_EVERY", 1)
+    path = tokenizers_path("piece_bpe_32k.model")
+
+    class Other:
+        def __init__(self, own):
+            self.own = own
+
+        def piece_to_id(self, piece):
+            return self.own.piece_to_id(piece)
+
+        def encode(self, x, **how):
+            return [i + [7] for i in self.own.encode(x, **how)] if isinstance(x, list) else self.own.encode(x)
+
+    encoder = sentencepieces.Encoder(path)
+    right = encoder.each(["some words here"])[0]
+    assert right[1]
+    encoder.known.clear()
+    encoder.other = Other(encoder.other)
+    ids, parity, _ = encoder.each(["some words here"])[0]
+    assert ids == right[0] and not parity  # the backend's ids stay
+    encoder = sentencepieces.Encoder(path)
+    encoder.parts = lambda text: text.split(" ")[:-1]  # a wrong split shows on whole texts
+    assert not encoder.each(["some words here"])[0][1]
+
+
+def test_words_are_encoded_alike_with_any_cache(tokenizers_path, monkeypatch):
+    from loomlake.llm import tokens
+
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("abÉ.,9中'") for _ in range(rng.randrange(1, 7))) for _ in range(30)) for _ in range(200)] + TEXTS
+    library = Pieces(tokenizers_path("word_bpe_49k.json"), False).library
+    expected = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for words in (0, 50, 500_000):
+        monkeypatch.setattr(tokens, "CACHE_WORDS", words)
+        own = Pieces(tokenizers_path("word_bpe_49k.json"), False)
+        for k in range(0, len(texts), 40):
+            ids, at = own.ids(texts[k : k + 40])
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == expected[k : k + 40]
+        assert len(own.words.known) <= words
+
+
 def test_unigram_model_round_trip(tmp_path):
     """A small unigram model written field by field."""
     import struct
