@@ -41,7 +41,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
                 kept = [(x.astype("<u2") if x.max() < 1 << 16 else x).tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array([len(x) for x in ids], pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "source", "n", "ids"])
                 del found, at, ids, kept
-            give_back()
+        give_back()
 
     rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, source string, n bigint, ids binary")

@@ -34,6 +34,8 @@ LONG_PIECE = 4096
 TOGETHER = 64
 BATCH_BYTES = 1 << 20
 CACHE_PIECES = 200_000
+#: Words kept as arrays, some twenty bytes each.
+CACHE_WORDS = 500_000
 CACHE_PIECE_CHARS = 48
 
 
@@ -76,6 +78,7 @@ class Pieces:
         self.split = (WITH_SPACE if self.kept_space else WITHOUT_SPACE).findall
         self.value = (lambda ids: len(ids)) if lengths_only else (lambda ids: array("I", ids).tobytes())
         self.known: dict[str, int | bytes] = {}
+        self.words = Words(self)
 
     def lowered(self, text: str) -> str:
         """In lower case, if the tokenizer does that, no special token can arise, and all lower it alike."""
@@ -137,32 +140,110 @@ class Pieces:
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another, and where each text's begin and the last end. Not for lengths_only."""
-        if self.kept_space:
-            found = [b"".join(x) for x in self.each(texts)]
-            return np.frombuffer(b"".join(found), "<u4"), np.cumsum([0, *(len(x) // 4 for x in found)])
-        # White space is dropped: split, and find what is distinct, without a Python object for each word.
-        split = pc.ascii_split_whitespace(pa.array([self.lowered(t or "") for t in texts], pa.large_string()))
+        if not self.kept_space:
+            return self.words.ids(texts)
+        found = [b"".join(x) for x in self.each(texts)]
+        return np.frombuffer(b"".join(found), "<u4"), np.cumsum([0, *(len(x) // 4 for x in found)])
+
+
+class Lists:
+    """Lists of numbers, held as one array with where each begins and its length."""
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray):
+        self.flat, self.size = flat, size
+        self.begin = np.cumsum(size) - size
+
+    def take(self, which: np.ndarray) -> Lists:
+        size = self.size[which]
+        out = Lists(self.flat[:0], size)
+        if len(which):
+            out.flat = self.flat[np.repeat(self.begin[which] - out.begin, size) + np.arange(size.sum())]
+        return out
+
+    def add(self, other: Lists) -> Lists:
+        return Lists(np.concatenate((self.flat, other.flat)), np.concatenate((self.size, other.size)))
+
+    def joined(self, counts: np.ndarray) -> Lists:
+        """So many lists in a row as one."""
+        ends = np.concatenate(([0], np.cumsum(self.size)))[np.concatenate(([0], np.cumsum(counts)))]
+        return Lists(self.flat, np.diff(ends))
+
+
+class Words:
+    """Ids by distinct words, for tokenizers that drop white space; without a Python object for each word of a text.
+
+    Words and parts of words that have been encoded are kept as Arrow strings beside an array of their ids, the first
+    CACHE_WORDS of them, which are the commoner ones.
+    """
+
+    def __init__(self, own: Pieces):
+        self.own = own
+        self.ends = np.zeros(max(own.library.get_vocab(with_added_tokens=True).values()) + 1, bool)
+        self.ends[list(own.ends)] = True
+        self.known = pa.array([], pa.large_string())
+        self.held = Lists(np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where each word is among the known ones, or -1."""
+        return pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def _encode(self, parts: list[str]) -> Lists:
+        """Each part's ids. Words of letters only are encoded TOGETHER, with blanks between; a word ends with an id that says so."""
+        plain = np.array([len(p) <= CACHE_PIECE_CHARS and p.isalpha() and _latin(p) for p in parts], bool) & bool(self.own.ends)
+        words, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        lines = [" ".join([parts[i] for i in words[k : k + TOGETHER].tolist()]) for k in range(0, len(words), TOGETHER)]
+        flat: list[int] = []
+        for k in range(0, len(lines), BATCH_BYTES // 1024):
+            for e in self.own.library.encode_batch_fast(lines[k : k + BATCH_BYTES // 1024], add_special_tokens=False):
+                flat += e.ids
+        ids = np.array(flat, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or len(ids) != (ends[-1] if len(ends) else 0):
+            raise ValueError("words and ids do not match")
+        sizes, flat, total, group = np.diff(np.concatenate(([0], ends))), [], 0, []
+        other_sizes: list[int] = []
+        for n, i in enumerate(others.tolist()):
+            group.append(parts[i])
+            total += len(parts[i])
+            if total > BATCH_BYTES // 4 or n + 1 == len(others):
+                for e in self.own.library.encode_batch_fast(group, add_special_tokens=False):
+                    flat += e.ids
+                    other_sizes.append(len(e.ids))
+                total, group = 0, []
+        back = np.empty(len(parts), np.int64)
+        back[np.concatenate((words, others))] = np.arange(len(parts))
+        return Lists(ids, sizes).add(Lists(np.array(flat, np.uint32), np.array(other_sizes, np.int64))).take(back)
+
+    def _miss(self, words: pa.Array) -> Lists:
+        """Ids of words that aren't known, by parts; what is short is known from now on."""
+        split = [self.own.pieces(w, lowered=True) for w in words.to_pylist()]
+        counts = np.array([len(x) for x in split], np.int64)
+        coded = pa.array([p for x in split for p in x], pa.large_string()).dictionary_encode()
+        at = self._places(coded.dictionary)
+        new = np.flatnonzero(at < 0)
+        lacking = coded.dictionary.take(pa.array(new))
+        made = self._encode(lacking.to_pylist())
+        at[new] = len(self.known) + np.arange(len(new))
+        found = self.held.add(made).take(at).take(coded.indices.to_numpy()).joined(counts)
+        if len(self.known) < CACHE_WORDS:
+            several = np.flatnonzero(counts != 1)
+            strings, lists = pa.concat_arrays([lacking, words.take(pa.array(several))]), made.add(found.take(several))
+            short = np.flatnonzero(pc.utf8_length(strings).to_numpy() <= CACHE_PIECE_CHARS)[: CACHE_WORDS - len(self.known)]
+            self.known, self.held = pa.concat_arrays([self.known, strings.take(pa.array(short))]), self.held.add(lists.take(short))
+        return found
+
+    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(pa.array([self.own.lowered(t or "") for t in texts], pa.large_string()))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        each = list(map(self.known.get, words))
-        parts = {i: self.pieces(words[i], lowered=True) for i, x in enumerate(each) if x is None}
-        new = {p for x in parts.values() for p in x} - self.known.keys()
-        if new:
-            self._encode(list(new))
-        for i, x in parts.items():
-            each[i] = b"".join([self.known[p] for p in x])
-            if len(x) > 1:
-                self.known[words[i]] = each[i]
-                new.add(words[i])
-        self._forget(new)
-        held = np.frombuffer(b"".join(each), "<u4")
-        size = np.array([len(x) // 4 for x in each], np.int64)
-        begin = np.cumsum(size) - size
-        which = coded.indices.to_numpy()
-        n = size[which] if len(size) else np.zeros(0, np.int64)
-        ends = np.concatenate(([0], np.cumsum(n)))
-        ids = held[np.repeat(begin[which] - ends[:-1], n) + np.arange(ends[-1])] if len(n) else held
-        return ids, ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        held = self.held
+        at = self._places(coded.dictionary)
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
+            at[miss] = len(held.size) + np.arange(len(miss))
+            held = held.add(self._miss(coded.dictionary.take(pa.array(miss))))
+        found = held.take(at).take(coded.indices.to_numpy())
+        ends = np.concatenate((found.begin, [len(found.flat)]))
+        return found.flat, ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
 @cache
