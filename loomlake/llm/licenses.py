@@ -1,15 +1,18 @@
 """Licence scans: a trained paragraph classifier over sparse word n-grams, with template comparison.
 
 A multinomial logistic regression over the presence of word n-grams is trained on pieces of the templates below (a class
-for each family) and on at most NEGATIVES different paragraphs of the corpus, chosen by their hashes (class none). All
-n-grams of the templates are features and every paragraph with a word of the templates is scored; the sample decides only
-the fit. Families need a probability that held-out pieces of templates reach, and
-the share of the paragraph's words that stand in the family's templates in threes must confirm it; else the family is unknown.
+for each family), and for the class none on shuffled templates and on at most NEGATIVES paragraphs of the corpus, chosen by
+hashes. All n-grams of the templates are features. Every paragraph is scored but those that cannot come out as a licence's:
+from the weights follows how much each word, with the n-grams that it is the rarest word of, can add at most, and words
+that can't tip the scales together are weak; a paragraph of weak and unknown words only is the class none's.
+
+A family needs a probability that held-out pieces of its templates reach, and a likeness to one of its templates that
+other licences don't: whole templates whose own family is left out say how like the next best family a licence can be that
+isn't among the families. Else the family is unknown.
 """
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -64,17 +67,15 @@ NEGATIVES = 2000
 NGRAMS = 3
 #: Words of a template's pieces besides whole templates, and every which place a piece begins at.
 PIECE_WORDS, PIECE_STEP = (6, 10), 2
-#: The part of held-out pieces whose own family must reach its limit.
+#: The part of held-out pieces whose own family must reach its limit, and of left-out templates that must stay unknown.
 HELD_OUT_PART = 0.95
-#: Share of words in threes that templates hold, for a confirmed family.
-CONFIRMED = 0.5
 LEAST_LICENSE = 0.5
+#: Share of a sampled paragraph's threes of words that templates hold, from which on it may be a licence's itself.
+OWN = 0.5
 ROUNDS, PENALTY = 100, 0.0002
 #: Weight of a whole template against a piece; classes weigh the same together.
 WHOLE = 4.0
-MAX_FEATURES = 20_000
-#: Parts of the weights by their grams' hashes, so that a gram is compared with few others.
-WEIGHT_PARTS = 1024
+SHUFFLES = 2
 
 
 def words(text: Column) -> Column:
@@ -95,97 +96,129 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("doc_id"), lines)
 
 
-def _template_rows(spark: SparkSession) -> DataFrame:
-    """family, w, held, weight: whole templates, and pieces of them, every fifth held out."""
+def _template_table(spark: SparkSession) -> DataFrame:
+    """family, w of each template."""
     rows = [(f, t) for f, texts in TEMPLATES.items() for t in texts]
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    table = spark.sql("select * from values " + ", ".join(f"({quote(f)}, {quote(t)})" for f, t in rows) + " as t(family, text)").select("family", words(F.col("text")).alias("w"))
-    whole = table.select("family", "w", F.lit(False).alias("held"), F.lit(WHOLE).alias("weight"))
-    parts = [
-        table.filter(F.size("w") > n).select("family", "w", F.explode(F.sequence(F.lit(1), F.size("w") - n + 1, F.lit(PIECE_STEP))).alias("at")).select("family", F.slice("w", F.col("at"), F.lit(n)).alias("w"), F.pmod(F.xxhash64("family", "at", F.lit(n)), F.lit(5)).eqNullSafe(0).alias("held"), F.lit(1.0).alias("weight"))
-        for n in PIECE_WORDS
-    ]
-    for p in parts:
-        whole = whole.unionByName(p)
-    return whole
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
-    """weights (gram, w: a number for each of FAMILIES; a table of MAX_FEATURES rows at most) and what else the model has."""
+    return spark.sql("select * from values " + ", ".join(f"({quote(f)}, {quote(t)})" for f, t in rows) + " as t(family, text)").select("family", words(F.col("text")).alias("w"))
+
+
+def _template_rows(spark: SparkSession) -> DataFrame:
+    """family, w, held, weight: whole templates, pieces of them, every fifth held out, and shuffled templates as none."""
+    table = _template_table(spark)
+    rows = table.select("family", "w", F.lit(False).alias("held"), F.lit(WHOLE).alias("weight"))
+    for n in PIECE_WORDS:
+        at = table.filter(F.size("w") > n).select("family", "w", F.explode(F.sequence(F.lit(1), F.size("w") - n + 1, F.lit(PIECE_STEP))).alias("at"))
+        rows = rows.unionByName(at.select("family", F.slice("w", F.col("at"), F.lit(n)).alias("w"), F.pmod(F.xxhash64("family", "at", F.lit(n)), F.lit(5)).eqNullSafe(0).alias("held"), F.lit(1.0).alias("weight")))
+    for n in range(SHUFFLES):
+        mixed = F.transform(F.array_sort(F.transform("w", lambda x, i: F.struct(F.xxhash64(x, i, F.lit(n)).alias("h"), x.alias("x")))), lambda p: p["x"])  # noqa: B023
+        rows = rows.unionByName(table.withColumn("mixed", mixed).filter("mixed <> w").select(F.lit("none").alias("family"), F.col("mixed").alias("w"), F.lit(False).alias("held"), F.lit(1.0).alias("weight")))
+    return rows
+
+
+def _likeness(threes: Column, templates: Column) -> Column:
+    """The largest share that a template's threes have in a paragraph's, or those in the template's."""
+    common = lambda t: F.size(F.array_intersect(threes, t))
+    each = F.transform(templates, lambda t: F.coalesce(F.try_divide(common(t), F.least(F.size(threes), F.size(t))), F.lit(0.0)))
+    return F.round(F.array_max(each), 6)
+
+
+def _by_family(spark: SparkSession) -> DataFrame:
+    """A row for each family: _family, and the threes of each of its templates."""
+    return _template_table(spark).groupBy(F.col("family").alias("_family")).agg(F.collect_list(grams(F.col("w"), NGRAMS)).alias("templates"))
+
+
+def _sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """w of NEGATIVES different paragraphs at most, from documents that are chosen by their texts' hashes; not those like templates."""
+    every = max(1, docs.count() // NEGATIVES)
+    some = docs.filter(F.pmod(F.xxhash64(docs[text_col], F.lit(5)), F.lit(every)) == 0)
+    hashed = paragraphs(some, id_col, text_col).select("paragraph").filter(F.length("paragraph") > 0).withColumn("h", F.xxhash64("paragraph", F.lit(5)))
+    sample = cut(hashed.distinct().orderBy("h", "paragraph").limit(NEGATIVES).select(words(F.col("paragraph")).alias("w")).filter(F.size("w") > 0), "license-sample")
+    told = known.select(F.explode("templates").alias("t")).select(F.explode("t").alias("t")).agg(F.collect_set("t").alias("told"))  # one row, of constants
+    threes = grams(F.col("w"), NGRAMS)
+    return sample.crossJoin(F.broadcast(told)).filter(F.size(F.array_intersect(threes, "told")) <= OWN * F.size(threes)).select("w")
+
+
+class Model:
+    """The fitted stages, and what else a scan needs."""
+
+    def __init__(self, counter, regression, limit: float, like: float):
+        self.counter, self.regression, self.limit, self.like = counter, regression, limit, like
+        self.bias = [float(x) for x in regression.interceptVector]
+        matrix = regression.coefficientMatrix.toArray()
+        self.weights = {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(counter.vocabulary)}  # of the constant templates
+
+    def strong(self, common: dict[str, int]) -> list[str]:
+        """Words one of which a paragraph needs to come out as a licence's. common: how often words occur in a sample.
+
+        A gram adds to a family's lead over none at most the most that it adds to any family's. Each gram is put down to
+        its least common word. As many of the commonest words are weak as can't make up for none's lead together.
+        """
+        adds: dict[str, float] = {}
+        for gram, w in self.weights.items():
+            word = min(gram.split(" "), key=lambda x: (common.get(x, 0), x))
+            adds[word] = adds.get(word, 0.0) + max(0.0, max(w[:-1]) - w[-1])
+        need = math.log(LEAST_LICENSE / (1 - LEAST_LICENSE)) - math.log(sum(math.exp(b - self.bias[-1]) for b in self.bias[:-1])) - 1e-6
+        order = sorted(adds, key=lambda x: (-common.get(x, 0), x))
+        while order and adds[order[0]] <= need:
+            need -= adds[order.pop(0)]
+        return sorted(order) if need > 0 else sorted(g for g in self.weights if " " not in g)
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, list[str]]:
+    """The model and the words one of which a paragraph must have to be scored: strong ones, or any that templates have."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
     spark = docs.sparkSession
+    known = _by_family(spark)
     named = cut(_template_rows(spark), "license-templates")
-    vocabulary = sorted(r.x for r in named.filter("not held").select(F.explode("w").alias("x")).distinct().collect())  # words of the constant templates
-    told = F.array(*(F.lit(x) for x in vocabulary))
-    hashed = paragraphs(docs, id_col, text_col).select("paragraph").filter(F.length("paragraph") > 0).withColumn("h", F.xxhash64("paragraph", F.lit(5)))
-    every = max(1, docs.count() // NEGATIVES)  # some paragraphs for each of NEGATIVES documents, however many there are
-    sample = hashed.filter(F.pmod("h", F.lit(every)) == 0).distinct().orderBy("h", "paragraph").limit(NEGATIVES)
-    sample = cut(sample.select(words(F.col("paragraph")).alias("w")).filter(F.size("w") > 0).withColumn("own", F.size(F.array_intersect("w", told)) / F.size(F.array_distinct("w"))), "license-sample")
-    plain = sample.filter("own < 0.5").select(F.lit("none").alias("family"), "w", F.lit(False).alias("held"), F.lit(1.0).alias("weight"))  # not itself a licence line
+    sample = _sample(docs, known, id_col, text_col)
+    plain = cut(sample.select(F.lit("none").alias("family"), "w", F.lit(False).alias("held"), F.lit(1.0).alias("weight")), "license-none")
     label = F.array_position(F.array(*(F.lit(f) for f in FAMILIES)), F.col("family")).cast("double") - 1
-    rows = cut(named.unionByName(plain).select("family", "held", label.alias("label"), "w", all_grams(F.col("w")).alias("grams"), (F.col("weight") / F.sum("weight").over(Window.partitionBy("family", "held"))).alias("weight")).coalesce(1), "license-training")
-    counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=MAX_FEATURES).fit(rows.filter("not held and family <> 'none'"))
+    share = F.col("weight") / F.sum("weight").over(Window.partitionBy("family", "held"))
+    rows = cut(named.unionByName(plain).select("family", "held", label.alias("label"), "w", all_grams(F.col("w")).alias("grams"), share.alias("weight")).coalesce(1), "license-training")
+    counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True).fit(rows.filter("not held and family <> 'none'"))
     spread = counter.transform(rows)
-    model = LogisticRegression(maxIter=ROUNDS, regParam=PENALTY, family="multinomial", standardization=False, weightCol="weight").fit(spread.filter("not held").coalesce(1))
-    matrix, bias = model.coefficientMatrix.toArray(), [float(x) for x in model.interceptVector]
-    weights = spark.createDataFrame([(g, [float(x) for x in matrix[:, i]]) for i, g in enumerate(counter.vocabulary)], "gram string, w array<double>")
-    weights = cut(weights, "license-weights")
-    scores = model.transform(spread.filter("held")).select("label", vector_to_array("probability").alias("p")).collect()  # of the held-out pieces
-    own = sorted(r.p[int(r.label)] for r in scores)
-    limit = own[min(len(own) - 1, math.floor((1 - HELD_OUT_PART) * len(own)))] if own else 0.5
-    return weights, {"bias": bias, "words": vocabulary, "limit": limit}
-
-
-def _known_grams(kept: Column) -> Column:
-    """all_grams without those that hold a null, for words of which all outside the templates are null; no other gram can be a feature."""
-
-    def runs(n: int) -> Column:
-        at = F.transform(kept, lambda _, i: F.slice(kept, i + 1, F.lit(n)))
-        whole = F.filter(at, lambda r: (F.size(r) == n) & ~F.exists(r, lambda x: x.isNull()))
-        return F.array_distinct(F.transform(whole, lambda r: F.array_join(r, " ")))
-
-    return F.flatten(F.array(*(runs(n) for n in range(1, NGRAMS + 1))))
+    regression = LogisticRegression(maxIter=ROUNDS, regParam=PENALTY, family="multinomial", standardization=False, weightCol="weight").fit(spread.filter("not held").coalesce(1))
 
-
-def _weight_parts(weights: DataFrame) -> Column:
-    """A constant: for each of WEIGHT_PARTS, the grams with that hash and their weights."""
-    parts: list[list[str]] = [[] for _ in range(WEIGHT_PARTS)]
-    for r in weights.select("gram", "w", F.pmod(F.xxhash64("gram"), F.lit(WEIGHT_PARTS)).alias("part")).collect():  # MAX_FEATURES at most
-        parts[r.part].append(f"named_struct('gram', '{r.gram}', 'w', array({', '.join(f'{x!r}D' for x in r.w)}))")  # grams are of a-z, 0-9 and blanks
-    empty = "cast(array() as array<struct<gram: string, w: array<double>>>)"
-    return F.expr(f"array({', '.join(f'array({chr(44).join(p)})' if p else empty for p in parts)})")
+    scored = regression.transform(spread.filter("family <> 'none'")).select("family", "held", "label", "w", "weight", vector_to_array("probability").alias("p"))
+    own = sorted(r.x for r in scored.filter("held").select(F.element_at("p", F.col("label").cast("int") + 1).alias("x")).collect())  # pieces of the constant templates
+    limit = own[math.floor((1 - HELD_OUT_PART) * len(own))] if own else 0.5
+    whole = scored.join(_template_table(spark), ["family", "w"], "left_semi").select("family", "w", F.transform(F.slice("p", 1, len(TEMPLATES)), lambda x, i: F.when(i == F.col("label").cast("int"), -1.0).otherwise(x)).alias("p"))
+    guess = F.element_at(F.array(*(F.lit(f) for f in TEMPLATES)), F.array_position("p", F.array_max("p")).cast("int"))
+    left_out = whole.withColumn("guess", guess).join(F.broadcast(known), F.col("guess") == F.col("_family"))
+    others = sorted(r.x for r in left_out.select(_likeness(grams(F.col("w"), NGRAMS), F.col("templates")).alias("x")).collect())
+    like = others[min(len(others) - 1, math.ceil(HELD_OUT_PART * len(others)) - 1)]
+    model = Model(counter, regression, limit, like)
+    common = {r.x: r.n for r in plain.select(F.explode(F.array_distinct("w")).alias("x")).filter(F.col("x").isin([g for g in model.weights if " " not in g])).groupBy("x").agg(F.count("*").alias("n")).collect()}  # words of the constant templates
+    return model, model.strong(common)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line, family, probability, similarity, confirmed, paragraph of each paragraph that is likely a licence's.
 
-    A paragraph is a line; line counts from 0. probability is that of the best family; a family is unknown unless it
-    reaches the model's limit and templates confirm it. Null and empty texts give no rows, neither does an empty table;
-    repeated rows give theirs each; null ids stay null; other columns are not read.
+    A paragraph is a line; line counts from 0. probability is that of the best family, of equal ones the first in the order
+    of FAMILIES; a family is unknown unless it reaches the model's limit and is more like a template than left-out licences
+    are. Null and empty texts give no rows, neither does an empty table; repeated rows give theirs each; null ids stay null;
+    paragraphs of any length are scored whole; other columns are not read.
     """
-    weights, model = train(docs, id_col, text_col)
-    spark = docs.sparkSession
+    from pyspark.ml.feature import NGram
+    from pyspark.ml.functions import vector_to_array
+
+    model, strong = train(docs, id_col, text_col)
     own = lambda c, name: F.explode(F.array(c)).alias(name)  # noqa: E731 - worked out once, however often it is used
     rows = paragraphs(docs, id_col, text_col).select("*", own(words(F.col("paragraph")), "w"))
-    rows = rows.select("*", own(F.transform("w", lambda x: F.when(x.isin(model["words"]), x)), "kept")).filter(F.exists("kept", lambda x: x.isNotNull()))
-    rows = rows.select("*", own(_known_grams(F.col("kept")), "grams")).filter(F.size("grams") > 0)
-    parts = _weight_parts(weights)
-    hits = F.flatten(F.transform("grams", lambda g: F.filter(F.element_at(parts, (F.pmod(F.xxhash64(g), F.lit(WEIGHT_PARTS)) + 1).cast("int")), lambda x: x["gram"] == g)))
-    total = F.aggregate(hits, F.array(*(F.lit(0.0) for _ in FAMILIES)), lambda a, x: F.zip_with(a, x["w"], lambda p, q: p + q))
-    bias = F.array(*(F.lit(b) for b in model["bias"]))
-    scores = rows.select("doc_id", "line", "paragraph", "w", own(F.zip_with(total, bias, lambda x, b: F.round(x, 9) + b), "z"))
-    scores = scores.select("*", own(F.transform("z", lambda x: F.exp(x - F.array_max("z"))), "e"))
-    scores = scores.select("*", own(F.aggregate("e", F.lit(0.0), lambda a, x: a + x), "total"))
-    scores = scores.filter(1 - F.element_at("e", -1) / F.col("total") >= LEAST_LICENSE)
-    scores = scores.withColumn("p", F.transform("e", lambda x: x / F.col("total"))).withColumn("best", F.array_position("p", F.array_max(F.slice("p", 1, len(TEMPLATES)))).cast("int"))
-    found = scores.select("doc_id", "line", "paragraph", "w", F.element_at(F.array(*(F.lit(f) for f in TEMPLATES)), F.col("best")).alias("guess"), F.element_at("p", F.col("best")).alias("probability"))
-
-    known = _template_rows(spark).filter("not held").select("family", F.explode(grams(F.col("w"), NGRAMS)).alias("t")).groupBy(F.col("family").alias("_family")).agg(F.collect_set("t").alias("known"))
-    found = found.join(F.broadcast(known), F.col("guess") == F.col("_family"))  # a row for each family
-    threes = grams(F.col("w"), NGRAMS)
-    found = found.withColumn("similarity", F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(threes, "known")), F.size(threes)), F.lit(0.0)), 6))
-    confirmed = (F.col("probability") >= model["limit"]) & (F.col("similarity") >= CONFIRMED)
+    rows = rows.filter(F.exists("w", lambda x: x.isin(strong)))
+    for n in range(2, NGRAMS + 1):
+        rows = NGram(n=n, inputCol="w", outputCol=f"g{n}").transform(rows)
+    rows = model.counter.transform(rows.select("doc_id", "line", "paragraph", "w", F.concat("w", *(f"g{n}" for n in range(2, NGRAMS + 1))).alias("grams")))
+    scored = model.regression.transform(rows.select("doc_id", "line", "paragraph", "w", "features"))
+    scored = scored.select("doc_id", "line", "paragraph", "w", own(vector_to_array("probability"), "p")).filter(1 - F.element_at("p", -1) >= LEAST_LICENSE)
+    scored = scored.select("*", own(F.slice("p", 1, len(TEMPLATES)), "named")).withColumn("best", F.array_position("named", F.array_max("named")).cast("int"))
+    found = scored.select("doc_id", "line", "paragraph", "w", F.element_at(F.array(*(F.lit(f) for f in TEMPLATES)), F.col("best")).alias("guess"), F.element_at("named", F.col("best")).alias("probability"))
+    found = found.join(F.broadcast(_by_family(docs.sparkSession)), F.col("guess") == F.col("_family"))  # a row for each family
+    found = found.withColumn("similarity", _likeness(grams(F.col("w"), NGRAMS), F.col("templates")))
+    confirmed = (F.col("probability") >= model.limit) & (F.col("similarity") > model.like)
     return found.select("doc_id", "line", F.when(confirmed, F.col("guess")).otherwise("unknown").alias("family"), F.round("probability", 6).alias("probability"), "similarity", confirmed.alias("confirmed"), "paragraph")

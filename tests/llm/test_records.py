@@ -5,6 +5,9 @@ from __future__ import annotations
 import gzip
 import hashlib
 import math
+import os
+import random
+import re
 
 import numpy as np
 import pytest
@@ -13,6 +16,7 @@ from loomlake.llm import chat, knn_join, licenses, util, warc
 
 from .conftest import documents
 
+SF = "/root/testdata/sf0.001"
 PAGES = "page_id bigint, url string, html string, first string, digest string"
 
 
@@ -122,9 +126,69 @@ def test_licences_whose_words_are_in_sampled_prose(spark):
     assert got.get((61, 1)) == "Proprietary"
 
 
-def test_licences_held_out(spark):
-    weights, model = licenses.train(documents(spark, [(i, f"wort{i} satz{i % 7} zeile{i % 5}") for i in range(50)]))
-    assert weights.count() <= licenses.MAX_FEATURES and 0 < model["limit"] <= 1
+def licence_brute(model, rows):
+    """Each paragraph scored in Python, none left out before: (doc_id, line, family, probability, similarity)."""
+    tell = lambda text: [x for x in re.split("[^a-z0-9]+", text.lower()) if x]
+    runs = lambda w, n: {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
+    templates = {f: [runs(tell(t), 3) for t in texts] for f, texts in licenses.TEMPLATES.items()}
+    out = []
+    for i, text in rows:
+        for line, paragraph in enumerate((text or "").split("\n")):
+            w = tell(paragraph)
+            present = [model.weights[g] for n in (1, 2, 3) for g in runs(w, n) if g in model.weights]
+            z = [b + sum(x[k] for x in present) for k, b in enumerate(model.bias)]
+            e = [math.exp(x - max(z)) for x in z]
+            p = [x / sum(e) for x in e]
+            if not present or 1 - p[-1] < licenses.LEAST_LICENSE:
+                continue
+            best = max(range(len(p) - 1), key=lambda k: p[k])
+            family, threes = licenses.FAMILIES[best], runs(w, 3)
+            like = max(round(len(threes & t) / min(len(threes), len(t)), 6) if threes and t else 0.0 for t in templates[family])
+            out.append((i, line, family if p[best] >= model.limit and like > model.like else "unknown", round(p[best], 5), like))
+    return out
+
+
+def licence_rows():
+    """Prose, prose in the words of licences, licences in several wordings, and some of families that aren't known."""
+    rng = random.Random(21)
+    told = sorted({w for texts in licenses.TEMPLATES.values() for t in texts for w in re.findall("[a-z]+", t.lower())})
+    prose = [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 8))) for _ in range(40)) for _ in range(120)]
+    harsh = [" ".join(rng.choice(told) for _ in range(rng.randrange(3, 30))) for _ in range(150)]
+    known = [(f, t) for f, texts in licenses.TEMPLATES.items() for t in texts] + [("Apache-2.0", "Copyright 2020 Foo. Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "licensed under the APACHE license,   version 2.0")]
+    others = ["Licensed under the Eclipse Public License 2.0", "Released under the Zlib License.", "Distributed under the Boost Software License, Version 1.0.", "This work is released under the Unlicense", "Licensed under the Zorblax Private Covenant, version 9.", "SPDX-License-Identifier: EPL-2.0"]
+    rows = [(i, "\n".join(rng.sample(prose, 4))) for i in range(60)] + [(100 + i, x) for i, x in enumerate(harsh)]
+    rows += [(1000 + i, f"{prose[i % 100]}\n{t}\n{prose[i % 77]}") for i, (_, t) in enumerate(known)] + [(2000 + i, t) for i, t in enumerate(others)]
+    rows += [(3000, None), (3001, ""), (3002, "\n\n..."), (1000, known[0][1]), (None, known[0][1]), (3003, "word " * 60_000 + known[0][1])]
+    return rows, {1000 + i: f for i, (f, _) in enumerate(known)}, {2000 + i for i in range(len(others))}
+
+
+def test_licences_follow_brute_force(spark):
+    rows, known, others = licence_rows()
+    docs = documents(spark, rows, clashes=True)
+    model, strong = licenses.train(docs)
+    assert 0 < model.limit <= 1 and 0 < model.like < 1 and strong
+    expected = licence_brute(model, rows)
+    got = [(r.doc_id, r.line, r.family, round(r.probability, 5), r.similarity) for r in licenses.scan(docs).collect()]
+    near = lambda x: (str(x[0]), x[1], x[2], round(x[3], 4), round(x[4], 4))
+    assert sorted(map(near, got)) == sorted(map(near, expected))
+    family = {(i, line): f for i, line, f, *_ in got}
+    assert np.mean([family.get((i, 1)) == f for i, f in known.items()]) >= 0.9
+    assert {family.get((i, 0), "unknown") for i in others} == {"unknown"}
+    assert sum(family.get((i, 0), "unknown") != "unknown" for i in range(100, 250)) <= 3  # prose in the words of licences
+    assert not any(i is not None and i < 60 for i, _ in family)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_licences_of_planted_lines_are_found(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model, _ = licenses.train(docs)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted((r.doc_id, r.line, r.family) for r in licenses.scan(docs).collect()) == sorted(x[:3] for x in licence_brute(model, rows))
+
+
+def test_licences_of_texts_without_any(spark):
+    assert licenses.scan(documents(spark, [(1, None), (2, None)])).count() == 0
+    assert licenses.scan(documents(spark, [(1, "nothing here"), (2, "")])).count() == 0
 
 
 def knn_brute(rows, k, every):
