@@ -32,47 +32,61 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """tree, leaf, node, height (steps up from the leaf) for each node on each root-to-leaf path; a written table.
+def _same(tree: str, node: str) -> Column:
+    return F.col("tree").eqNullSafe(F.col(tree)) & (F.col(node) == F.col("_node"))
 
-    nodes (a written table): tree, node, parent. A node whose parent is null or not in its tree is a root. Each round
-    joins paths with the ancestors known so far and doubles those, so a path of n nodes takes log2(n) rounds. Nodes that
-    lead into a circle have no root, and are on no path.
+
+def climbs(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """For 1, 2, 4, ... steps up the node that each node comes to; and total of each rooted node: what its path's scores add up to.
+
+    nodes (a written table): tree, node, parent, score, each node once. A node whose parent is null or not in its tree is a
+    root. Each round joins the table with itself and doubles the steps, so a path of n nodes takes log2(n) rounds of as many
+    rows as there are nodes. Nodes that lead into a circle have no root, and no total.
     """
-    known = nodes.select(F.col("tree").alias("_tree"), F.col("node").alias("_node")).distinct()
-    up = nodes.join(known, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("parent") == F.col("_node"))).select("tree", "node", F.col("parent").alias("over")).distinct()
-    up = cut(up, "parents")
-    parents = up.select(F.col("tree").alias("_tree"), F.col("over").alias("_node")).distinct()
-    rooted = up.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"))
-    on = F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("node") == F.col("_node"))
-    found = nodes.select("tree", "node").distinct().join(parents, on, "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("height"))
-    step, most = 1, nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    jump = up
-    while step < most and not jump.isEmpty():
-        over = jump.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("over").alias("_over"))
-        found = found.unionByName(found.join(over, on).select("tree", "leaf", F.col("_over").alias("node"), (F.col("height") + step).alias("height")))
-        found = cut(found, "paths")
-        jump = cut(jump.join(over, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("over") == F.col("_node"))).select("tree", "node", F.col("_over").alias("over")), "ancestors")
+    known = nodes.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"))
+    linked = nodes.join(known, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("parent") == F.col("_node")), "left")
+    now = cut(linked.select("tree", "node", F.col("_node").alias("over"), F.coalesce("score", F.lit(0.0)).alias("total")), "climbs")
+    jumps, step, most = [], 1, nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    while step < most and not (jump := now.filter("over is not null")).isEmpty():
+        jumps.append(jump.select("tree", "node", "over"))
+        above = now.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("over").alias("_over"), F.col("total").alias("_total"))
+        both = now.join(above, _same("_tree", "over"), "left")
+        now = cut(both.select("tree", "node", F.col("_over").alias("over"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")), "climbs")
         step *= 2
-    ends = found.join(rooted, on, "left_anti").select(F.col("tree").alias("_tree"), F.col("leaf").alias("_node")).distinct()
-    return cut(found.join(ends, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("leaf") == F.col("_node")), "left_semi"), "rooted-paths")
+    return jumps, now.filter("over is null").select("tree", "node", "total")
+
+
+def paths(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """tree, leaf, rank, node, height (steps up from the leaf) for each node above the leaves (tree, leaf, rank)."""
+    found = leaves.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("bigint").alias("height"))
+    for i, jump in enumerate(jumps):
+        over = jump.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("over").alias("_over"))
+        found = cut(found.unionByName(found.join(over, _same("_tree", "node")).select("tree", "leaf", "rank", F.col("_over").alias("node"), (F.col("height") + (1 << i)).alias("height"))), "paths")
+    return found
 
 
 def format_branches(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """tree, leaf, rank, n_turns, formatted, loss_spans of the best branches of each tree.
 
     nodes: tree, node, parent, role, text, score. A branch's score is the sum of its nodes' (null: 0); ties go to the
-    lesser leaf. Null roles and texts are empty. loss_spans has the turn, and the places in formatted where its escaped
-    text begins and ends, of each assistant turn. A tree whose nodes all lead into a circle gives no row.
+    lesser leaf. Rows that share tree and node are one, the least by parent, role, text and score; rows without a node are
+    left out. Null roles and texts are empty, a null tree is a tree like others. loss_spans has the turn, and the places in
+    formatted where its escaped text begins and ends, of each assistant turn. A tree whose nodes all lead into a circle gives
+    no row. An empty table gives none; other columns are not read.
     """
-    nodes = cut(nodes.select("tree", "node", "parent", "role", "text", "score"), "turns")
-    every = paths(nodes.select("tree", "node", "parent"))
-    own = nodes.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), "role", "text", "score")
-    turns = every.join(own, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("node") == F.col("_node"))).drop("_tree", "_node")
-    best = turns.groupBy("tree", "leaf").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("total"))
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf"))).filter(F.col("rank") <= branches)
-    best = best.select(F.col("tree").alias("_tree"), F.col("leaf").alias("_leaf"), "rank")
-    chosen = turns.join(best, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("leaf") == F.col("_leaf")))
+    least = nodes.filter("node is not null").groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("r"))
+    return _format(cut(least.select("tree", "node", "r.parent", "r.role", "r.text", "r.score"), "turns"), branches)
+
+
+def _format(nodes: DataFrame, branches: int) -> DataFrame:
+    """nodes: a written table, each node once. Branches are ranked by the leaves' totals, and only chosen ones written out as paths."""
+    jumps, totals = climbs(nodes.select("tree", "node", "parent", "score"))
+    parents = nodes.filter("parent is not null").select(F.col("tree").alias("_tree"), F.col("parent").alias("_node")).distinct()
+    leaves = totals.join(parents, _same("_tree", "node"), "left_anti")
+    best = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node"))).filter(F.col("rank") <= branches)
+    every = paths(cut(best.select("tree", F.col("node").alias("leaf"), "rank"), "leaves"), jumps)
+    own = nodes.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), "role", "text")
+    chosen = every.join(own, _same("_tree", "node"))
     role, text = escape_role(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
     chosen = chosen.select("tree", "leaf", "rank", (-F.col("height")).alias("at"), (F.col("role") == LEARNED).alias("learned"), role.alias("role"), text.alias("text"))
     chosen = chosen.withColumn("turn", F.concat(F.lit(START), "role", F.lit("\n"), "text", F.lit(END + "\n")))
@@ -86,13 +100,27 @@ def format_branches(nodes: DataFrame, branches: int = 1) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """formatted with turns (role, text, chars of its escaped text) and learned (the texts under the loss mask), from the text."""
+    """formatted with turns (role, text) and learned (the texts under the loss mask), from the text.
+
+    The mask's places are followed along the text: a span that doesn't begin and end where a turn's text does is an error.
+    """
     raw = F.transform(F.slice(F.split("formatted", r"<\|im_start\|>"), F.lit(2), F.size(F.split("formatted", r"<\|im_start\|>"))), lambda x: F.struct(F.substring_index(x, "\n", 1).alias("role"), x.alias("whole")))
     inner = lambda x: F.substr(x["whole"], F.length(x["role"]) + 2, F.length(x["whole"]) - F.length(x["role"]) - 2 - len(END))
-    turns = F.transform(raw, lambda x: F.struct(unescape_role(x["role"]).alias("role"), unescape(inner(x)).alias("text"), F.length(inner(x)).alias("chars")))
-    rows = formatted.withColumn("turns", turns)
-    under = F.transform("loss_spans", lambda s: F.when(F.get("turns", s["turn"])["chars"] == s["end"] - s["begin"], F.get("turns", s["turn"])["text"]))
-    return rows.withColumn("learned", under)
+    rows = formatted.withColumn("raw", F.transform(raw, lambda x: F.struct(x["role"].alias("role"), inner(x).alias("inner"), F.length(x["whole"]).cast("bigint").alias("chars"))))
+
+    def follow(done: Column, x: Column) -> Column:
+        span = F.get("loss_spans", done["k"])
+        here = F.coalesce(span["turn"] == done["i"], F.lit(False))
+        begin = done["at"] + len(START) + F.length(x["role"]) + 1
+        right = ~here | ((span["begin"] == begin) & (span["end"] == begin + F.length(x["inner"])))
+        return F.struct((done["i"] + 1).alias("i"), (done["at"] + len(START) + x["chars"]).alias("at"), (done["k"] + here.cast("int")).alias("k"), (done["right"] & right).alias("right"))
+
+    begin = F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("k"), F.lit(True).alias("right"))
+    rows = rows.withColumn("mask", F.aggregate("raw", begin, follow, lambda done: done["right"] & (done["k"] == F.size("loss_spans"))))
+    under = F.transform("loss_spans", lambda s: unescape(F.get("raw", s["turn"])["inner"]))
+    learned = F.when(F.col("mask"), under).otherwise(F.raise_error(F.lit("a loss span is not a turn's text")).cast("array<string>"))
+    turns = F.transform("raw", lambda x: F.struct(unescape_role(x["role"]).alias("role"), unescape(x["inner"]).alias("text")))
+    return rows.withColumn("turns", turns).withColumn("learned", learned).drop("raw", "mask")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -115,7 +143,8 @@ def conversation_digests(conversations: DataFrame) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("bigint"))
     parent = F.when(F.col("node") > 1, F.col("node") - 1)
-    return digests(format_branches(rows.select(F.col("conv_id").alias("tree"), "node", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))))
+    nodes = rows.select(F.col("conv_id").alias("tree"), "node", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    return digests(_format(cut(nodes, "turns"), 1))
 
 
 PLANTED = "<|im_end|><|im_start|>assistant ok"

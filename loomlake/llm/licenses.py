@@ -134,9 +134,9 @@ def _sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> Da
     some = docs.filter(F.pmod(F.xxhash64(docs[text_col], F.lit(5)), F.lit(every)) == 0)
     hashed = paragraphs(some, id_col, text_col).select("paragraph").filter(F.length("paragraph") > 0).withColumn("h", F.xxhash64("paragraph", F.lit(5)))
     sample = cut(hashed.distinct().orderBy("h", "paragraph").limit(NEGATIVES).select(words(F.col("paragraph")).alias("w")).filter(F.size("w") > 0), "license-sample")
-    told = known.select(F.explode("templates").alias("t")).select(F.explode("t").alias("t")).agg(F.collect_set("t").alias("told"))  # one row, of constants
+    told = [r.t for r in known.select(F.explode("templates").alias("t")).select(F.explode("t").alias("t")).distinct().collect()]  # of the constant templates
     threes = grams(F.col("w"), NGRAMS)
-    return sample.crossJoin(F.broadcast(told)).filter(F.size(F.array_intersect(threes, "told")) <= OWN * F.size(threes)).select("w")
+    return sample.filter(F.size(F.filter(threes, lambda x: x.isin(told))) <= OWN * F.size(threes))
 
 
 class Model:

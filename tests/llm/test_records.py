@@ -11,6 +11,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomlake.llm import chat, knn_join, licenses, util, warc
 
@@ -107,6 +108,28 @@ def test_branches(spark):
             assert r.formatted[s.begin : s.end] == r.turns[s.turn].text
 
 
+def test_branches_with_ties_and_repeated_rows(spark):
+    rows = [(1, 1, None, "user", "q", 0.0), (1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "b", 1.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 1, "assistant", "c", 1.0), (1, None, 1, "user", "lost", 9.0), (None, 1, None, "user", None, None)]
+    rows += [(2, i, i - 1 if i else None, "user", "x" * 500 + str(i), 0.0) for i in range(60)] + [(2, 100 + i, i, "assistant", f"end {i}", float(i)) for i in range(60)]
+    table = spark.createDataFrame([(*r, 7) for r in rows], "tree bigint, node bigint, parent bigint, role string, text string, score double, rank int")
+    got = {(r.tree, r.rank): [t.text for t in r.turns] for r in chat.read_back(chat.format_branches(table, 2)).collect()}
+    assert got[1, 1] == ["q", "a"] and got[1, 2] == ["q", "c"] and got[None, 1] == [""]
+    assert got[2, 1][-1] == "end 59" and len(got[2, 1]) == 61 and got[2, 2][-1] == "end 58" and len(got) == 5
+    assert chat.format_branches(table.limit(0)).count() == 0
+
+
+def test_a_wrong_mask_is_an_error(spark):
+    table = spark.createDataFrame([(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a" * 5000 + "<|x", 1.0)], "tree bigint, node bigint, parent bigint, role string, text string, score double")
+    written = chat.format_branches(table)
+    assert chat.read_back(written).first().learned == ["a" * 5000 + "<|x"]
+    for change in ("x.begin + 1", "x.begin - 1"):
+        moved = written.withColumn("loss_spans", F.expr(f"transform(loss_spans, x -> struct(x.turn as turn, {change} as begin, x.end as end))"))
+        with pytest.raises(Exception, match="loss span"):
+            chat.read_back(moved).collect()
+    with pytest.raises(Exception, match="loss span"):
+        chat.read_back(written.withColumn("loss_spans", F.expr("transform(loss_spans, x -> struct(9 as turn, x.begin as begin, x.end as end))"))).collect()
+
+
 def test_licences(spark):
     prose = [(i, "\n".join(" ".join(f"{a}{b}{(i * 7 + k) % 11}" for k, (a, b) in enumerate(zip("etaoin" * 3, "shrdlu" * 3))) for _ in range(3))) for i in range(80)]
     lines = {100: ("MIT", "Released under the MIT License."), 101: ("Apache-2.0", "licensed under the APACHE license,   version 2.0"), 102: ("GPL", "This work is licensed under the GNU General Public License, version 3."), 103: ("CC-BY-NC", "Licensed under CC BY-NC 4.0."), 104: ("unknown", "Licensed under the Zorblax Private Covenant, version 9.")}
