@@ -45,6 +45,8 @@ FAR = 0.3
 #: Bits of a map, in longs of 64.
 MAP = 256
 SLICE_BYTES = 1 << 20
+#: Rows of one set from which on it is among the sets that are broadcast.
+OFTEN = 1000
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, 2 * COLLECTION * ROWS, dtype=np.uint64)
 _EDGES = (np.arange(SKETCH, dtype=np.uint64) << np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.uint64)
 
@@ -279,9 +281,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     sigs = cut(signatures(docs, words, id_col, text_col), "signatures")
     named = sigs.filter("set_hash is not null and doc_id is not null")
-    classes = cut(named.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "set-classes")
-    reps = named.join(classes, (named["set_hash"] == classes["set_hash"]) & (named["doc_id"] == classes["rep"]), "left_semi").select("doc_id", "n_shingles", "bands", "sketch").distinct()
-    reps = cut(reps, "set-representatives")
+    one = F.min_by(F.struct("n_shingles", "bands", "sketch"), "doc_id").alias("one")  # equal sets have equal ones
+    classes = cut(named.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), one).select("set_hash", "rep", "n", "one.*"), "set-classes")
+    reps = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "bands", "sketch")
 
     keys = _keys(reps.select("doc_id", "bands"))
     buckets = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least <> most").select(F.col("key").alias("_key"))
@@ -289,7 +291,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     links.resolve(cut(keys.join(buckets, F.col("key") == F.col("_key")).select("key", "doc_id"), "bucket-members"))
     found = links.parts
 
-    nodes = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("set_hash").alias("_hash"), F.coalesce("component", "rep").alias("component"))
-    out = sigs.select("doc_id", "n_shingles", "set_hash", "text_hash").join(nodes, F.col("set_hash") == F.col("_hash"), "left")
+    nodes = cut(classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("set_hash").alias("_hash"), F.coalesce("component", "rep").alias("component"), "n"), "set-components")
+    rows = sigs.select("doc_id", "n_shingles", "set_hash", "text_hash")
+    # sets of very many rows meet their component by a broadcast, rows without a set meet none, so no task gets all of either
+    often = small(nodes.filter(F.col("n") > OFTEN).select(F.col("_hash").alias("_often"), F.col("component").alias("often")))
+    rows = cut(rows.join(often, F.col("set_hash") == F.col("_often"), "left").drop("_often"), "often-components")
+    done = rows.filter("set_hash is null or often is not null").withColumnRenamed("often", "component")
+    rest = rows.filter("set_hash is not null and often is null").drop("often").join(nodes.drop("n"), F.col("set_hash") == F.col("_hash"), "left").drop("_hash")
+    out = done.unionByName(rest)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")

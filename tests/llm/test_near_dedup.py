@@ -64,6 +64,37 @@ def test_components_follow_brute_force(spark, words):
     assert sorted((r.doc_id for r in left.collect()), key=str) == sorted((i for i, _, c in brute(rows, words) if i == c), key=str)
 
 
+def thue_morse(bits: int, swap: bool = False) -> str:
+    return "".join("ab"[(i.bit_count() + swap) % 2] for i in range(1 << bits))
+
+
+def test_words_made_to_cancel_are_told_apart(spark):
+    """Polynomial hashes modulo a power of two give these words equal values, whatever their base."""
+    one, two = thue_morse(10), thue_morse(10, True)
+    assert len({s.tobytes() for s in shingle_sets([one, two, thue_morse(4), thue_morse(4, True)], 4)}) == 4
+    got = {r.doc_id: (r.component_id, r.kept) for r in N.near_duplicates(documents(spark, [(1, one), (2, two), (3, "  " + one.upper())]), 4).collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (1, False)}
+
+
+def test_word_hashes_follow_the_words():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abé中") for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    _, hashes = word_hashes(" ".join(words).encode())
+    of = {}
+    for w, h in zip(words, hashes.tolist()):
+        assert of.setdefault(w, h) == h
+    assert len(set(of.values())) == len(of)
+
+
+def test_often_repeated_sets_and_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(N, "OFTEN", 3)
+    rng = random.Random(6)
+    base = " ".join(f"t{rng.randrange(10**6)}" for _ in range(200))
+    long = " ".join(f"l{rng.randrange(10**6)}" for _ in range(60_000))
+    rows = [*((i, base) for i in range(30)), (40, edited(rng, base, 2)), (50, long), (51, edited(rng, long, 300)), *((60 + i, x) for i, x in enumerate([None, "", " ", "z z"] * 4))]
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(documents(spark, rows), 5).collect()} == brute(rows, 5)
+
+
 def test_rows_that_share_an_id(spark):
     text = " ".join(map(str, range(50)))
     docs = documents(spark, [(1, text), (1, text), (2, text), (3, "a b c d e f")])
