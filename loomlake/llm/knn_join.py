@@ -1,9 +1,11 @@
 """Exact top-k by integer inner product: a Voronoi kNN join.
 
-PIVOTS vectors cut space into cells. Queries are grouped by the cell of their nearest pivot, in blocks. Each query's
+Pivots, one for every PIVOT_QUERIES queries, cut space into cells. Queries are grouped by the cell of their nearest pivot, in blocks. Each query's
 k-th best score in a block of its own cell bounds its result from below; with the radius of a cell's queries and the
 lengths of vectors, this bounds what a vector must reach to matter to any query of a cell. A vector goes to those cells'
 queries only, spread over blocks of rows, and what blocks find is merged. No cell, however many rows it holds, is in one task.
+Where bounds leave out nothing, as among vectors without clusters, each vector goes to every cell, so pivots are few while
+queries are. Pivots decide how much is moved, not the result.
 """
 
 from __future__ import annotations
@@ -17,7 +19,10 @@ from pyspark.sql import functions as F
 
 from .util import cut
 
-PIVOTS = 16
+#: Queries for which there is one pivot, and the fewest and the most pivots.
+PIVOT_QUERIES, LEAST_PIVOTS, MOST_PIVOTS = 128, 4, 4096
+#: A component from here on is an error; 64-bit integers are used while all sums stay below it.
+MOST = 1 << 62
 QUERY_BLOCK = 4096
 DATA_BLOCK = 2048
 #: Queries of a block that are solved at once.
@@ -25,11 +30,11 @@ AT_ONCE = 512
 
 
 def quantized(vectors: DataFrame, scale: int, id_col: str, vec_col: str) -> DataFrame:
-    """id, v: floor(scale * x) of each component; without vectors that are null or hold null or non-finite components."""
+    """id, v: floor(scale * x) of each component; without vectors that are null or hold null or non-finite components. Components of MOST or more are an error."""
     v = F.col("v")
     whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(vectors[id_col].cast("bigint").alias("id"), vectors[vec_col].cast("array<double>").alias("v"))
-    return rows.filter(F.col("id").isNotNull() & v.isNotNull() & whole).select("id", F.transform(v, lambda x: F.floor(x * scale)).alias("v"))
+    return rows.filter(F.col("id").isNotNull() & v.isNotNull() & whole).select("id", F.transform(v, lambda x: F.when(F.abs(x * scale) < float(MOST), F.floor(x * scale)).otherwise(F.raise_error(F.lit("a component is too large")).cast("bigint"))).alias("v"))
 
 
 def _matrix(column) -> np.ndarray:
@@ -38,11 +43,15 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy().reshape(len(flat), -1)
 
 
-def _pivots(rows: DataFrame) -> np.ndarray:
-    """PIVOTS distinct vectors of the commonest length at most, those with the least hashes."""
-    held = rows.groupBy(F.xxhash64("v").alias("h")).agg(F.first("v").alias("v")).orderBy("h").limit(PIVOTS).collect()
-    lengths = [len(r.v) for r in held]
-    return np.array([r.v for r in held if len(r.v) == max(set(lengths), key=lengths.count)], float) if held else np.zeros((0, 0))
+def _pivots(rows: DataFrame, every: int) -> np.ndarray:
+    """Distinct vectors of the commonest length among some rows that are chosen by their ids' hashes."""
+    n, asked = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
+    wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, asked // PIVOT_QUERIES))
+    chosen = F.xxhash64("id")
+    some = rows.filter(F.pmod(chosen, F.lit(max(1, n // (16 * wanted)))) == 0).select(chosen.alias("h"), "v").orderBy("h", "v").limit(4 * wanted).collect()
+    lengths = [len(r.v) for r in some]
+    held = [tuple(r.v) for r in some if len(r.v) == max(set(lengths), key=lengths.count)]
+    return np.array(list(dict.fromkeys(held))[:wanted], float) if held else np.zeros((0, 0))
 
 
 def _cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -88,15 +97,29 @@ def _vectors(table: pa.Table, dim: int) -> np.ndarray:
 
 
 def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of q, id and score of each query's k best rows of x by score, then by lesser id; its own id is left out."""
+    """Row of q, id and score of each query's k best rows of x by score, then by lesser id; its own id is left out.
+
+    Scores are exact: float64 where all sums stay below 2**52, 64-bit integers where they can't overflow, else integers of any
+    size; one that 64 bits can't hold is an error.
+    """
     order = np.argsort(x_ids, kind="stable")
     x, x_ids = x[order], x_ids[order]
-    exact = q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * (len(x) + 1) < 2**52
+    most = q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0))
+    exact = most * (len(x) + 1) < 2**52
     out = []
     for at in range(0, len(q), AT_ONCE):
         part = q[at : at + AT_ONCE]
-        scores = (part.astype(float) @ x.T.astype(float)).astype(np.int64) if exact else part @ x.T
         own = q_ids[at : at + AT_ONCE, None] == x_ids
+        if exact:
+            scores = (part.astype(float) @ x.T.astype(float)).astype(np.int64)
+        elif most < MOST:
+            scores = part @ x.T
+        else:
+            scores = part.astype(object) @ x.T.astype(object)
+            scores[own] = 0  # it is left out
+            if scores.size and max(abs(scores.max()), abs(scores.min())) >= (1 << 63) - 1:
+                raise ValueError("a score is too large for 64 bits")
+            scores = scores.astype(np.int64)
         if exact:  # one number for score and place
             keys = scores * len(x) - np.arange(len(x))
             keys[own] = np.iinfo(np.int64).min + 1  # its negative is a number too
@@ -131,11 +154,11 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
 
     Vectors are floor(scale * x) of their components, scores inner products; ties go to the lesser id. Rows without id,
     null vectors and vectors with null or non-finite components take no part; vectors of different lengths don't meet,
-    empty ones score 0 with each other. Rows that share a query's id are its own; repeated other rows count each, and
+    empty ones score 0 with each other. Components of 2**62 or more and scores over 64 bits are an error. Rows that share a query's id are its own; repeated other rows count each, and
     repeated query rows once. An empty table gives no rows; other columns are not read.
     """
     rows = quantized(vectors, scale, id_col, vec_col)
-    pivots = _pivots(rows)
+    pivots = _pivots(rows, every)
     placed = cut(_packed(_cells(rows, pivots)), "knn-cells")
     queries = cut(placed.filter(F.col("id") % every == 0).dropDuplicates(["id", "v"]), "knn-queries")
 
@@ -162,6 +185,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     least = {(r.dim, r.cell): r for r in kth.groupBy("dim", "cell").agg(F.count("*").alias("queries"), F.min("n").alias("n"), F.min("kth").alias("kth")).collect()}
     bound = {c: float(least[c].kth) if c in least and least[c].n >= k and least[c].queries == asked[c].n else -np.inf for c in asked}
 
+    lengths = (pivots * pivots).sum(1) if len(pivots) else np.zeros(1)
+
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector once for each block of queries that it may matter to."""
         for batch in batches:
@@ -169,12 +194,14 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
                 part = pa.Table.from_batches([batch]).filter(pa.array(batch.column("dim").to_numpy() == dim))
                 x = _vectors(part, dim).astype(float)
                 size = part.column("size").to_numpy()
+                products = x @ pivots.T if len(pivots) and pivots.shape[1] == dim else np.zeros((len(x), 1))
                 for (d, cell), r in asked.items():
                     if d != dim:
                         continue
-                    p = pivots[cell] if cell >= 0 else np.zeros(dim)
-                    far = np.sqrt(((x - p) ** 2).sum(1)) if dim else size
-                    most = np.minimum(x @ p + r.radius * size, (r.longest**2 + size**2 - np.maximum(0, far - r.radius) ** 2) / 2)
+                    product, length = (products[:, cell], lengths[cell]) if cell >= 0 else (0.0, 0.0)
+                    far = np.sqrt(np.maximum(0, size**2 - 2 * product + length))
+                    far = np.maximum(0, far * (1 - 1e-6) - r.radius)  # rounding of the terms must not make it larger
+                    most = np.minimum(product + r.radius * size, (r.longest**2 + size**2 - far**2) / 2)
                     some = part.filter(pa.array(most * (1 + 1e-9) + 1e-3 + 1e-9 * np.abs(most) >= bound[d, cell]))
                     for qb in range(query_blocks[d, cell] if some.num_rows else 0):
                         cols = [some.column("id"), some.column("dim"), *(pa.array(np.full(some.num_rows, v, np.int64)) for v in (cell, qb)), some.column("v")]

@@ -240,6 +240,28 @@ def test_nearest_vectors(spark, monkeypatch, block, queries):
     assert knn_join.top_k(table.limit(0), 4, 10).count() == 0
 
 
+@pytest.mark.parametrize("pivots", [(1, 1, 9), (2, 40, 40)])
+def test_nearest_vectors_with_few_and_many_pivots(spark, monkeypatch, pivots):
+    for name, n in zip(("PIVOT_QUERIES", "LEAST_PIVOTS", "MOST_PIVOTS"), pivots):
+        monkeypatch.setattr(knn_join, name, n)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4) + 8 * (i % 3)]) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in knn_join.top_k(table, 5, 10).collect()} == knn_brute(rows, 5, 10)
+
+
+def test_large_components_are_exact_or_an_error(spark):
+    make = lambda *vectors: spark.createDataFrame([(i, list(v)) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    top = lambda t: {(r.query_id, r.rank, r.vec_id, r.score) for r in knn_join.top_k(t, 2, 1).collect()}
+    near = [(1e6, 3.0), (1e6, 4.0), (-1e6, 5.0), (2e5, 1.0)]
+    assert top(make(*near)) == knn_brute(list(enumerate(near)), 2, 1)
+    cancel = [(4e6, -4e6), (4e6, 4e6 - 1), (1.0, 2.0)]  # single products are over 2**62 / 2
+    assert top(make(*cancel)) == knn_brute(list(enumerate(cancel)), 2, 1)
+    for wide in ([(1e30,), (2.0,)], [(1e12, 1.0), (1e12, 2.0)]):
+        with pytest.raises(Exception, match="too large"):
+            top(make(*wide))
+
+
 def test_bounds_leave_out_what_cannot_matter(spark):
     rng = np.random.default_rng(3)
     centres = np.eye(8) * 50
