@@ -4,10 +4,14 @@ A window of LENGTH bytes is removed if it also starts earlier. Of the grams of G
 least hash is its anchor; equal windows have equal anchors at equal places, so suffixes that share LENGTH bytes meet
 when windows are grouped by anchor. The windows that share an anchor in a text are a run, and a run's bytes its context.
 
-1. Runs are dealt by anchor. Of runs with equal contexts all but the earliest are covered, whatever else there is.
-2. The earliest runs of anchors with several contexts go on, with their bytes. In suffix order, with equal prefixes by
-   place, the longest previous factor of a window is LENGTH or more if its previous smaller place is beside it.
-3. Anchors with very many contexts are split by whole windows, and the least place of each is found by partial sums.
+1. Runs are dealt by anchor, and runs with equal contexts (by 64-bit hashes of anchor and context, both keyed) are put
+   together before suffixes are ordered: all but the earliest are covered, whatever else there is. It keeps groups of copies
+   from growing into groups of suffixes.
+2. The earliest runs of anchors with several contexts go on, with their bytes. Their suffixes are put in order; the previous
+   and the next smaller place of each in that order are the earlier places that share most with it, and the longer of both
+   common prefixes is its longest previous factor, counted up to LENGTH. Windows where it is LENGTH are covered.
+3. Anchors with more than GROUP contexts would make too large a group. Their windows are dealt by their own LENGTH bytes, and
+   the least place of each is found by partial aggregates: the same previous smaller places, without a group in one task.
 
 Anchors that have many contexts within a batch are found beforehand, over all texts; their runs are dealt by context too.
 """
@@ -29,10 +33,9 @@ from .util import byte_slices, cut, fresh, give_back, small
 LENGTH = 100
 GRAM = 32
 SLICE_BYTES = (1 << 20) - LENGTH  # so that tables of powers have 1 << 20 places
-#: Contexts in one batch that make an anchor frequent, and how many such anchors are dealt by context.
+#: Contexts in one batch that make an anchor frequent, so that its runs are dealt by context.
 OFTEN = 8
-FREQUENT = 10_000
-#: Contexts up to which an anchor's windows are put in suffix order together.
+#: Contexts up to which an anchor's windows are put in suffix order together; those of others are dealt by their bytes.
 GROUP = 2000
 #: Bytes of contexts put in suffix order at once.
 ORDER_BYTES = 1 << 19
@@ -95,10 +98,7 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def frequent_anchors(rows: DataFrame) -> DataFrame:
-    """g: anchors with OFTEN or more contexts in some batch; the FREQUENT ones with most, which bounds what is broadcast.
-
-    It only decides how runs are dealt, not what comes of them.
-    """
+    """g: anchors with OFTEN or more contexts in some batch. It only decides how runs are dealt, not what comes of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -108,12 +108,10 @@ def frequent_anchors(rows: DataFrame) -> DataFrame:
                 g, x = g[order], x[order]
                 g = g[np.concatenate(([True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])))] if len(g) else g
                 g, n = np.unique(g, return_counts=True)
-                g, n = g[n >= OFTEN], n[n >= OFTEN]
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n, pa.int64())], names=["g", "n"])
-            give_back()
+                yield pa.RecordBatch.from_arrays([pa.array(g[n >= OFTEN].view(np.int64))], names=["g"])
+        give_back()
 
-    found = rows.select("text").mapInArrow(run, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
-    return found.orderBy(F.desc("n"), "g").limit(FREQUENT).select("g")
+    return rows.select("text").mapInArrow(run, "g bigint").distinct()
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -133,7 +131,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
                 kind = np.where(again, COVERED, ANCHORED).astype(np.int8)
                 k = np.where(again, mix(x + a.astype(np.uint64)), g)
                 yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (k.view(np.int64), g.view(np.int64), x.view(np.int64), d, th, a, n.astype(np.int32), kind)], names=["k", "g", "x", "d", "th", "a", "n", "kind"])
-            give_back()
+        give_back()
 
     return rows.mapInArrow(run, "k bigint, g bigint, x bigint, d bigint, th bigint, a bigint, n int, kind tinyint")
 
@@ -182,13 +180,19 @@ def _sifted(g, d, th, a, n, kind: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (g, d, th, a)] + [pa.array(n, pa.int32()), pa.array(np.full(len(g), kind, np.int8))], names=["g", "d", "th", "a", "n", "kind"])
 
 
-def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """The rank of the length bytes from each place on, among all places, by doubling prefixes; equal for equal bytes."""
+def _eights(data: np.ndarray, length: int) -> np.ndarray:
+    """The eight bytes from each place on as a number, in the order of bytes."""
     n = len(data)
     padded = np.concatenate((data, np.zeros(length + 8, np.uint8))).astype(np.uint64)
     word = np.zeros(n, np.uint64)
     for i in range(8):
         word = (word << np.uint64(8)) | padded[i : i + n]
+    return word
+
+
+def suffix_ranks(word: np.ndarray, length: int) -> np.ndarray:
+    """The rank of the length bytes from each place on, among all places, by doubling prefixes; equal for equal bytes."""
+    n = len(word)
     ranks, size = np.unique(word, return_inverse=True)[1].astype(np.int64), 8
     while size < length:
         step = min(size, length - size)
@@ -197,16 +201,38 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     return ranks
 
 
-def previous_factors(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """Which places (ascending) have a longest previous factor of length or more, among these places.
+def previous_smaller(x: np.ndarray) -> np.ndarray:
+    """Where the nearest smaller value before each value stands, or -1, by jumping from candidate to candidate."""
+    at = np.arange(len(x)) - 1
+    open_ = np.flatnonzero(at >= 0)
+    while len(open_):
+        open_ = open_[x[at[open_]] > x[open_]]
+        at[open_] = at[at[open_]]
+        open_ = open_[at[open_] >= 0]
+    return at
+
+
+def _common(word: np.ndarray, one: np.ndarray, two: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that the suffixes at places one and two have in common, in whole eights up to length, and length for that many."""
+    out = np.zeros(len(one), np.int64)
+    same = np.arange(len(one))
+    for step in [*range(0, length - 7, 8), length - 8]:
+        same = same[word[one[same] + step] == word[two[same] + step]]
+        out[same] = step + 8
+    return out
 
-    Suffix order is by the first length bytes, equal ones by place. So the previous smaller place of a suffix stands
-    right before it if both share length bytes, and the next smaller place never shares as many.
-    """
-    ranks = suffix_ranks(data, length)[places]
+
+def previous_factors(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """The longest previous factor, as _common counts it, of the suffix at each of these ascending places among them."""
+    word = _eights(data, length)
+    ranks = suffix_ranks(word, length)[places]
     order = np.argsort(ranks, kind="stable")
-    out = np.zeros(len(places), bool)
-    out[order[1:]] = ranks[order[1:]] == ranks[order[:-1]]
+    out = np.zeros(len(places), np.int64)
+    before = previous_smaller(order)
+    after = len(order) - 1 - previous_smaller(order[::-1])[::-1]
+    for near, some in ((before, before >= 0), (after, after < len(order))):
+        own, other = order[some], order[near[some]]
+        out[own] = np.maximum(out[own], _common(word, places[own], places[other], length))
     return out
 
 
@@ -228,7 +254,7 @@ def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = t.column("n").to_numpy().astype(np.int64)
         owner = np.repeat(np.arange(len(count)), count)
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        hit = previous_factors(data, offsets[owner] + inner, LENGTH)
+        hit = previous_factors(data, offsets[owner] + inner, LENGTH) == LENGTH
         at, size = _stretches(hit, owner)
         d, th, a = (t.column(c).to_numpy()[owner[at]] for c in ("d", "th", "a"))
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(th), pa.array(a + inner[at]), pa.array(size, pa.int32())], names=["d", "th", "a", "n"])
@@ -259,36 +285,33 @@ def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Of each wanted run (d, th, g, a, n, split) its context, or for split ones each window's two hashes."""
+    """Of each wanted run (d, th, g, a, n, split) its context, or for split ones a row for each window with its bytes as w."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_slices(whole, "text", SLICE_BYTES):
-                cols: list[list] = [[] for _ in range(8)]
+                cols: list[list] = [[] for _ in range(7)]
                 for d, th, text, held in zip(*(batch.column(c).to_pylist() for c in ("d", "th", "text", "runs"))):
                     data = text.encode("utf-8", "surrogatepass")
-                    hashes = None
                     for r in held:
                         if not r["split"]:
-                            rows = [(r["g"], d, th, r["a"], r["n"], data[r["a"] : r["a"] + r["n"] + LENGTH - 1], None, None)]
+                            rows = [(r["g"], d, th, r["a"], r["n"], data[r["a"] : r["a"] + r["n"] + LENGTH - 1], None)]
                         else:
-                            part = np.frombuffer(data, np.uint8, r["n"] + LENGTH - 1, r["a"])
-                            hashes = [Prefix(part, i).grams(LENGTH).view(np.int64).tolist() for i in (0, 1)]
-                            rows = [(r["g"], d, th, r["a"] + i, 1, None, w, v) for i, (w, v) in enumerate(zip(*hashes))]
+                            rows = [(r["g"], d, th, i, 1, None, data[i : i + LENGTH]) for i in range(r["a"], r["a"] + r["n"])]
                         for row in rows:
                             for c, v in zip(cols, row):
                                 c.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["g", "d", "th", "a", "n", "context", "w", "v"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["g", "d", "th", "a", "n", "context", "w"])
 
     held = wanted.groupBy(F.col("d").alias("_d"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("g", "a", "n", "split")).alias("runs"))
     rows = texts.join(held, (F.col("d") == F.col("_d")) & (F.col("th") == F.col("_th"))).select("d", "th", "text", "runs")
-    return rows.mapInArrow(run, "g bigint, d bigint, th bigint, a bigint, n int, context binary, w bigint, v bigint")
+    return rows.mapInArrow(run, "g bigint, d bigint, th bigint, a bigint, n int, context binary, w binary")
 
 
 def covered_windows(rows: DataFrame) -> DataFrame:
     """d, th, a, n: stretches of n windows from a on, each of which starts earlier too, for rows d, th, text."""
-    frequent = small(cut(frequent_anchors(rows).select(F.col("g").alias("_g")), "anchors"), FREQUENT)
+    frequent = small(cut(frequent_anchors(rows).select(F.col("g").alias("_g")), "anchors"))
     dealt = _dealt(rows).join(frequent, (F.col("g") == F.col("_g")) & (F.col("kind") == ANCHORED), "left")
     salted = F.col("_g").isNotNull()
     dealt = dealt.select(F.when(salted, F.xxhash64("g", "x")).otherwise(F.col("k")).alias("k"), "g", "x", "d", "th", "a", "n", F.when(salted, F.lit(SALTED).cast("tinyint")).otherwise(F.col("kind")).alias("kind"))
@@ -301,9 +324,9 @@ def covered_windows(rows: DataFrame) -> DataFrame:
     contexts = cut(_contexts(rows, wanted), "contexts")
     groups = contexts.filter("context is not null").select("g", "d", "th", "a", "n", "context").repartition("g").sortWithinPartitions("g", "d", "th", "a")
     by_order = groups.mapInArrow(_order, "d bigint, th bigint, a bigint, n int")
-    windows = contexts.filter("context is null").select("w", "v", "d", "th", "a", "n")
-    least = windows.groupBy(F.col("w").alias("_w"), F.col("v").alias("_v")).agg(F.min(F.struct("d", "th", "a")).alias("least"), F.max(F.struct("d", "th", "a")).alias("most")).filter("least <> most")
-    by_window = windows.join(least, (F.col("w") == F.col("_w")) & (F.col("v") == F.col("_v"))).filter(F.struct("d", "th", "a") != F.col("least")).select("d", "th", "a", "n")
+    windows = contexts.filter("context is null").select("w", "d", "th", "a", "n")
+    least = windows.groupBy(F.col("w").alias("_w")).agg(F.min(F.struct("d", "th", "a")).alias("least"), F.max(F.struct("d", "th", "a")).alias("most")).filter("least <> most")
+    by_window = windows.join(least, F.col("w") == F.col("_w")).filter(F.struct("d", "th", "a") != F.col("least")).select("d", "th", "a", "n")
     return sifted.filter(F.col("kind") == COVERED).select("d", "th", "a", "n").unionByName(by_order).unionByName(by_window)
 
 
@@ -355,7 +378,12 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the covered bytes out of their texts, whole characters only; n_chars, where there is one, follows."""
+    """docs with the covered bytes out of their texts, whole characters only; n_chars, where there is one, follows.
+
+    Null texts stay null, empty ones and those under LENGTH bytes as they are. Which copy is the first is as in
+    removal_digests, so rows that share id and text keep the same; null ids come last. Very long texts are cut as a whole. An
+    empty table gives none; other columns stay as they are, whatever they are called.
+    """
     at = docs.columns.index(text_col)
     joined, runs = _joined(docs, id_col, text_col)
 

@@ -85,12 +85,33 @@ def test_windows_and_factors():
     x = rng.integers(0, 9, 500).astype(np.uint64)
     for width in (1, 7, 69):
         assert (D.window_minima(x, width) == [x[i : i + width].min() for i in range(len(x) - width + 1)]).all()
-    data = rng.integers(0, 2, 3000).astype(np.uint8)
+    data = rng.integers(0, 2, 1500).astype(np.uint8)
     for length in (8, 12, 20):
-        seen, hit = set(), []
         places = np.arange(len(data) - length + 1)
-        for i in places:
-            w = data[i : i + length].tobytes()
-            hit.append(w in seen)
-            seen.add(w)
-        assert D.previous_factors(data, places, length).tolist() == hit
+        whole = [data[i : i + length].tobytes() for i in places]
+        common = lambda a, b: next((k for k in range(length) if a[k] != b[k]), length)
+        got = D.previous_factors(data, places, length).tolist()
+        seen: set[bytes] = set()
+        for i in places.tolist():
+            assert (got[i] == length) == (whole[i] in seen)
+            seen.add(whole[i])
+        for i in (1, 40, 700, 1400):
+            longest = max(common(whole[i], whole[j]) for j in range(i))
+            assert got[i] == (length if longest == length else longest // 8 * 8)
+
+
+def test_previous_smaller():
+    rng = np.random.default_rng(3)
+    for x in (rng.permutation(400), np.arange(50), np.arange(50)[::-1].copy(), np.zeros(0, np.int64)):
+        expected = [next((j for j in range(i - 1, -1, -1) if x[j] < x[i]), -1) for i in range(len(x))]
+        assert D.previous_smaller(x).tolist() == expected
+
+
+def test_one_anchor_with_very_many_contexts(spark, monkeypatch):
+    """A line that all documents hold, with other words around it in each, and the earliest of them last in the table."""
+    monkeypatch.setattr(D, "GROUP", 20)
+    rng = random.Random(31)
+    line = noise(rng, 130)
+    rows = [(300 - i, noise(rng, 60) + line + noise(rng, 60)) for i in range(200)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in D.removal_digests(documents(spark, rows)).collect()}
+    assert got == {k[0]: expected(k[1].encode(), m) for k, m in brute(rows).items()}
