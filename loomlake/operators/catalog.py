@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,8 +61,21 @@ def with_queue(queue: DataFrame, lacking: DataFrame) -> DataFrame:
     return queue.select("key").unionByName(lacking.select("key").join(queue.select("key"), "key", "left_anti"))
 
 
-def upsert(catalog: DataFrame, rows: DataFrame, key: str = "key") -> DataFrame:
-    """catalog with rows merged by key: columns that rows have are overwritten, others kept; a new key's others are null."""
+def last_of(rows: DataFrame, keys: list[str], order_col: str | None = None) -> DataFrame:
+    """One row for each key, without order_col: the last by it (null first); of equal ones, or without it, the one whose other columns are greatest."""
+    others = [c for c in rows.columns if c not in keys and c != order_col]
+    if not others:
+        return rows.select(*keys).distinct()
+    ahead = [F.col(order_col).alias("_order")] if order_col else []
+    return rows.groupBy(*keys).agg(F.max(F.struct(*ahead, *others)).alias("_r")).select(*keys, *(F.col("_r")[c].alias(c) for c in others))
+
+
+def upsert(catalog: DataFrame, rows: DataFrame, key: str = "key", order_col: str | None = None) -> DataFrame:
+    """catalog with rows merged by key: columns that rows have are overwritten, others kept; a new key's others are null.
+
+    Of rows with one key the last by order_col counts, as last_of says. Rows without a key are left out.
+    """
+    rows = last_of(rows.filter(F.col(key).isNotNull()), [key], order_col)
     given = [c for c in rows.columns if c != key]
     new = rows.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_new_{c}") for c in given), F.lit(True).alias("_given"))
     both = catalog.join(new, F.col(key) == F.col("_key"), "full_outer")
@@ -82,20 +96,35 @@ def with_ids(catalog: DataFrame, id_col: str = "id", key: str = "key", parts: in
 
 def upsert_vectors(vectors: DataFrame, rows: DataFrame, order_col: str | None = None) -> DataFrame:
     """vectors with rows put in by image_id; of repeated ids in rows the last by order_col stays."""
-    if order_col:
-        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc(order_col)))).filter("_n = 1").drop("_n", order_col)
+    rows = last_of(rows, ["image_id"], order_col)
     return vectors.join(rows.select("image_id"), "image_id", "left_anti").select(*vectors.columns).unionByName(rows.select(*vectors.columns))
 
 
-def upsert_settings(settings: DataFrame, rows: DataFrame) -> DataFrame:
+def upsert_settings(settings: DataFrame, rows: DataFrame, order_col: str | None = None) -> DataFrame:
+    """settings with rows put in by ns and key; of repeated ones in rows the last by order_col stays."""
+    rows = last_of(rows, ["ns", "key"], order_col)
     return settings.join(rows.select("ns", "key"), ["ns", "key"], "left_anti").select(*settings.columns).unionByName(rows.select(*settings.columns))
 
 
+def setting_row(spark, ns: str, key: str, value) -> DataFrame:
+    """A row of settings; any value that JSON can hold is written as JSON."""
+    return spark.createDataFrame([(ns, key, json.dumps(value, sort_keys=True, ensure_ascii=False))], SETTINGS)
+
+
 def setting(settings: DataFrame, ns: str, key: str, default: str | None = None) -> str | None:
     row = settings.filter((F.col("ns") == ns) & (F.col("key") == key)).select("value").first()
     return default if row is None else row[0]
 
 
+def json_setting(settings: DataFrame, ns: str, key: str, default=None):
+    """The value that setting_row wrote; the default if there is none, or it isn't JSON."""
+    held = setting(settings, ns, key)
+    try:
+        return default if held is None else json.loads(held)
+    except ValueError:
+        return default
+
+
 def mark_status(catalog: DataFrame, keys: DataFrame, status: str, error: str | None = None) -> DataFrame:
     """Rows of keys get the status and the error, which is null if none is given; other keys are left alone."""
     marked = catalog.join(keys.select(F.col("key").alias("_key")).distinct(), F.col("key") == F.col("_key"), "left")

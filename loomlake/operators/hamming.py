@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import cache
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pixels import hamming, hamming_score, variants
+from .blocks import in_blocks
 
-BITS = 64
-#: Query rows up to which they are broadcast, at some twenty bytes a row; more go through bands.
+BITS, BANDS = 64, 4
+WIDTH = BITS // BANDS
+#: Query rows up to which they are broadcast, at some twenty bytes a row; more go through bands of the hash.
 BROADCAST_QUERIES = 50_000
 DEFAULT_DISTANCE = 12
 DUPLICATE_DISTANCE = 8
@@ -24,44 +29,74 @@ def candidate_width(k: int) -> int:
     return max(3 * k, 100)
 
 
-def _bands(rows: DataFrame, h: str, distance: int) -> DataFrame:
-    """band and value beside rows: hashes within distance agree on one of distance + 1 bands at least."""
-    n = min(distance + 1, BITS)
-    edges = [BITS * i // n for i in range(n + 1)]
-    each = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(F.col(h), BITS - b), BITS - b + a).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
-    return rows.withColumn("_b", F.explode(F.array(*each))).select("*", "_b.band", "_b.value").drop("_b")
+@cache
+def _radii(distance: int) -> tuple[int, ...]:
+    """For each band, the bits that may differ in it: hashes within distance keep to one of these, as the radii and one each add up to distance + 1."""
+    more, least = (distance + 1) % BANDS, (distance + 1) // BANDS
+    return tuple(least - 1 + (i < more) for i in range(BANDS))
+
+
+@cache
+def _masks(radius: int) -> list[int]:
+    """All values of a band with at most radius bits."""
+    return [sum(1 << b for b in some) for n in range(radius + 1) for some in combinations(range(WIDTH), n)]
+
+
+def _value(h: Column, band: int) -> Column:
+    return F.shiftrightunsigned(h, band * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
+
+
+def _places(h: Column) -> Column:
+    return F.array(*(F.struct(F.lit(i).alias("band"), _value(h, i).alias("value")) for i in range(BANDS)))
+
+
+def _bands(rows: DataFrame, h: str) -> DataFrame:
+    """band and value of each of BANDS parts beside rows."""
+    return rows.withColumn("_b", F.explode(_places(F.col(h)))).select("*", "_b.band", "_b.value").drop("_b")
+
+
+def _near_bands(rows: DataFrame, h: str, distance: int, band: str, value: str) -> DataFrame:
+    """band and value beside rows, for each value of a band that a hash within distance may have where it keeps to the band's radius."""
+
+    def around(i: int, radius: int) -> Column:
+        return F.transform(F.lit(_masks(radius)), lambda m: F.struct(F.lit(i).alias("band"), _value(F.col(h), i).bitwiseXOR(m).alias("value")))
+
+    each = [around(i, r) for i, r in enumerate(_radii(distance)) if r >= 0]
+    return rows.withColumn("_place", F.explode(F.concat(*each))).select("*", F.col("_place.band").alias(band), F.col("_place.value").alias(value)).drop("_place")
+
+
+def _first_band(a: str, b: str, distance: int) -> Column:
+    """The first band in which the two keep to its radius."""
+    x = F.col(a).bitwiseXOR(F.col(b))
+    return F.coalesce(*(F.when(F.bit_count(_value(x, i)) <= r, F.lit(i)) for i, r in enumerate(_radii(distance)) if r >= 0))
 
 
 def hamming_join(queries: DataFrame, images: DataFrame, distance: int | None = DEFAULT_DISTANCE, query_hash: str = "qh", image_hash: str = "h") -> DataFrame:
     """All columns of both, and dist, for pairs within distance; none or one of 0 or less is no limit.
 
-    Images without hash take no part. Few queries are broadcast against all images; more meet images through bands on
-    which hashes within the distance must agree, so each pair is found without a nested loop. Pairs are unique by the
-    first band that agrees.
+    Rows without hash take no part. Up to BROADCAST_QUERIES queries, which are counted, are broadcast and compared with all
+    images in one pass of generated code. More meet images by BANDS parts of the hash: with a distance d, some part differs in
+    no more bits than its radius, and radii add up to d + 1 - BANDS; queries are put to all values within the radius. Pairs are
+    unique by the first part that keeps to it. Without a limit all pairs are the result, and go by blocks.
     """
-    images = images.filter(F.col(image_hash).isNotNull())
+    images, queries = images.filter(F.col(image_hash).isNotNull()), queries.filter(F.col(query_hash).isNotNull())
     limit = distance if distance and distance > 0 else BITS
     dist = hamming(F.col(query_hash), F.col(image_hash))
-    if limit >= BITS or queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
         return images.join(F.broadcast(queries), dist <= limit).withColumn("dist", dist)
-    left = _bands(queries, query_hash, limit).withColumnRenamed("band", "_qb").withColumnRenamed("value", "_qv")
-    pairs = _bands(images, image_hash, limit).join(left, (F.col("band") == F.col("_qb")) & (F.col("value") == F.col("_qv"))).withColumn("dist", dist).filter(F.col("dist") <= limit)
+    if limit >= BITS:
+        return in_blocks(queries, images, image_hash).withColumn("dist", dist)
+    left = _near_bands(queries, query_hash, limit, "_qb", "_qv")
+    pairs = _bands(images, image_hash).join(left, (F.col("band") == F.col("_qb")) & (F.col("value") == F.col("_qv"))).withColumn("dist", dist).filter(F.col("dist") <= limit)
     return pairs.filter(_first_band(query_hash, image_hash, limit) == F.col("band")).drop("band", "value", "_qb", "_qv")
 
 
-def _first_band(a: str, b: str, limit: int):
-    n = min(limit + 1, BITS)
-    edges = [BITS * i // n for i in range(n + 1)]
-    x = F.col(a).bitwiseXOR(F.col(b))
-    return F.coalesce(*(F.when(F.shiftrightunsigned(F.shiftleft(x, BITS - hi), BITS - hi + lo) == 0, F.lit(i)) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))))
-
-
 def self_join(images: DataFrame, distance: int, id_col: str = "image_id", hash_col: str = "h") -> DataFrame:
     """a < b, dist: pairs of images within distance. Equal hashes meet once by hash, and only distinct hashes go through bands."""
     held = images.filter(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
     kinds = held.select("h").distinct()
-    one = _bands(kinds, "h", distance)
-    two = one.select(F.col("h").alias("g"), F.col("band").alias("_b"), F.col("value").alias("_v"))
+    one = _bands(kinds, "h")
+    two = _near_bands(kinds.select(F.col("h").alias("g")), "g", distance, "_b", "_v")
     near = one.join(two, (F.col("band") == F.col("_b")) & (F.col("value") == F.col("_v")) & (F.col("h") <= F.col("g")))
     near = near.withColumn("dist", hamming(F.col("h"), F.col("g"))).filter((F.col("dist") <= distance) & (_first_band("h", "g", distance) == F.col("band"))).select(F.col("h").alias("_h"), F.col("g").alias("_g"), "dist")
     left, right = held.select(F.col("id").alias("x"), "h"), held.select(F.col("id").alias("y"), F.col("h").alias("g"))

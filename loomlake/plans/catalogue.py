@@ -7,7 +7,6 @@ histogram. Snapshots of orders serve as folder scans: the price in cents is a fi
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,7 @@ from ..operators import evaluate as E
 from ..operators import hamming as H
 from ..operators import search as S
 from ..operators import vectors as V
+from ..operators.blocks import in_blocks
 from ..streaming import watch as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,9 +57,14 @@ def hashed(spark: SparkSession, sf_dir: str, algorithm: str = "ahash") -> DataFr
     return grids(spark, sf_dir).withColumn("h", X.pack(X.hash_bits(F.col("px"), algorithm)))
 
 
-def asked(spark: SparkSession, sf_dir: str, *ids: int, tta: bool = True) -> DataFrame:
+#: Searches ask with every row whose id this divides.
+EVERY = 100
+ASKED = f"vec_id % {EVERY} = 0"
+
+
+def asked(spark: SparkSession, sf_dir: str, tta: bool = True) -> DataFrame:
     """query_id, variant, px, qh of the queries' variants."""
-    rows = grids(spark, sf_dir).filter(F.col("image_id").isin(*ids)).select(F.col("image_id").alias("query_id"), "px")
+    rows = grids(spark, sf_dir).filter(F.col("image_id") % EVERY == 0).select(F.col("image_id").alias("query_id"), "px")
     rows = H.expand_variants(rows) if tta else rows.withColumn("variant", F.lit(0))
     return rows.withColumn("qh", X.pack(X.ahash_bits(F.col("px"))))
 
@@ -77,22 +82,30 @@ COSINE = f"{DOT} / ({NORM.format('a')} * {NORM.format('b')})"
 HIST = "list_transform(px, lambda x: abs(x) / list_sum(list_transform(px, lambda y: abs(y))))"
 COMMON = "list_sum(list_transform(range(1, 65), lambda i: least(a.hist[i], b.hist[i])))"
 MEDIAN = "(list_sort({0})[len({0}) // 2] + list_sort({0})[len({0}) // 2 + 1]) / 2"
-NEAR = f"""{HASHED}, {VARIANTS}, q as (select *, {AHASH} as bits from v where query_id in (0, 7)),
+NEAR = f"""{HASHED}, {VARIANTS}, q as (select *, {AHASH} as bits from v where query_id % {EVERY} = 0),
 n as (select a.query_id, a.variant, b.vec_id as image_id, {DIST} as dist from q a, b)"""
 
 
-@query("q01_cosine_topk", f"with {GRIDS}, s as (select b.vec_id as image_id, {COSINE} as c from e a, e b where a.vec_id = 0), r as (select *, row_number() over (order by round(c, 12) desc, image_id)::int as rank from s) select image_id, rank, round((c + 1) / 2, 6) as score from r where rank <= {K}")
+@query("q01_cosine_topk", f"with {GRIDS}, s as (select a.vec_id as query_id, b.vec_id as image_id, {COSINE} as c from e a, e b where a.{ASKED}), r as (select *, row_number() over (partition by query_id order by round(c, 12) desc, image_id)::int as rank from s) select query_id, image_id, rank, round((c + 1) / 2, 6) as score from r where rank <= {K}")
 def cosine_topk(spark, sf_dir):
-    wanted = asked(spark, sf_dir, 0, tta=False).withColumnRenamed("px", "vec")
+    wanted = asked(spark, sf_dir, tta=False).withColumnRenamed("px", "vec")
     near = V.nearest_by_cosine(wanted, grids(spark, sf_dir).withColumnRenamed("px", "vec"), K)
-    return near.select("image_id", "rank", F.round(X.cosine_score(F.col("cosine")), 6).alias("score"))
+    return near.select("query_id", "image_id", "rank", F.round(X.cosine_score(F.col("cosine")), 6).alias("score"))
+
+
+@query("q01b_cosine_topk_all", f"with {GRIDS}, s as (select a.vec_id as query_id, b.vec_id as image_id, {COSINE} as c from e a, e b), r as (select *, row_number() over (partition by query_id order by round(c, 12) desc, image_id)::int as rank from s) select query_id, image_id, rank, round((c + 1) / 2, 6) as score from r where rank <= 3")
+def cosine_topk_all(spark, sf_dir):
+    """Every vector asks."""
+    rows = grids(spark, sf_dir).withColumnRenamed("px", "vec")
+    near = V.nearest_by_cosine(rows.select(F.col("image_id").alias("query_id"), F.lit(0).alias("variant"), "vec"), rows, 3)
+    return near.select("query_id", "image_id", "rank", F.round(X.cosine_score(F.col("cosine")), 6).alias("score"))
 
 
-@query("q02_cosine_topk_tta", f"""with {GRIDS}, {VARIANTS}, s as (select a.query_id, a.variant, b.vec_id as image_id, {COSINE} as c from v a, e b where a.query_id in (0, 7)),
+@query("q02_cosine_topk_tta", f"""with {GRIDS}, {VARIANTS}, s as (select a.query_id, a.variant, b.vec_id as image_id, {COSINE} as c from v a, e b where a.query_id % {EVERY} = 0),
 r as (select *, row_number() over (partition by query_id, variant order by round(c, 12) desc, image_id) as n from s)
 select query_id, image_id, round(max((c + 1) / 2), 6) as score from r where n <= 200 group by query_id, image_id""")
 def cosine_topk_tta(spark, sf_dir):
-    wanted = asked(spark, sf_dir, 0, 7).withColumnRenamed("px", "vec")
+    wanted = asked(spark, sf_dir).withColumnRenamed("px", "vec")
     return S.by_vector(wanted, grids(spark, sf_dir).withColumnRenamed("px", "vec"), K).select("query_id", "image_id", F.round("pattern_score", 6).alias("score"))
 
 
@@ -120,18 +133,18 @@ def pixel_statistics(spark, sf_dir):
     return grids(spark, sf_dir).select("image_id", F.round(X.total(px) / F.size(px), 9).alias("mean"), F.round(X.median(px), 9).alias("median"), F.round(X.norm(px), 9).alias("norm"), ones.alias("ones"))
 
 
-@query("q07_hamming_topk", f"with {HASHED}, s as (select b.vec_id as image_id, {DIST} as dist from b a, b where a.vec_id = 0), r as (select *, row_number() over (order by dist, image_id)::int as rank from s) select *, 1 - dist / 64 as similarity from r where rank <= {K}")
+@query("q07_hamming_topk", f"with {HASHED}, s as (select a.vec_id as query_id, b.vec_id as image_id, {DIST} as dist from b a, b where a.{ASKED}), r as (select *, row_number() over (partition by query_id order by dist, image_id)::int as rank from s) select *, 1 - dist / 64 as similarity from r where rank <= {K}")
 def hamming_topk(spark, sf_dir):
-    near = H.hamming_join(asked(spark, sf_dir, 0, tta=False).select("query_id", "qh"), hashed(spark, sf_dir).select("image_id", "h"), None)
+    near = H.hamming_join(asked(spark, sf_dir, tta=False).select("query_id", "qh"), hashed(spark, sf_dir).select("image_id", "h"), None)
     from pyspark.sql import Window
 
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "image_id"))).filter(F.col("rank") <= K)
-    return ranked.select("image_id", "dist", "rank", X.hamming_score(F.col("dist")).alias("similarity"))
+    return ranked.select("query_id", "image_id", "dist", "rank", X.hamming_score(F.col("dist")).alias("similarity"))
 
 
 @query("q08_hamming_range_tta", f"with {NEAR} select query_id, image_id, min(dist) as dist, max(1 - dist / 64) as similarity from n where dist <= {DISTANCE} group by query_id, image_id")
 def hamming_range_tta(spark, sf_dir):
-    near = H.hamming_join(asked(spark, sf_dir, 0, 7).select("query_id", "variant", "qh"), hashed(spark, sf_dir).select("image_id", "h"), DISTANCE)
+    near = H.hamming_join(asked(spark, sf_dir).select("query_id", "variant", "qh"), hashed(spark, sf_dir).select("image_id", "h"), DISTANCE)
     return near.groupBy("query_id", "image_id").agg(F.min("dist").alias("dist"), F.max(X.hamming_score(F.col("dist"))).alias("similarity"))
 
 
@@ -140,6 +153,19 @@ def hamming_selfjoin(spark, sf_dir):
     return H.self_join(hashed(spark, sf_dir), 17)
 
 
+PLANTED = 12
+FLIPS = f"p as (select vec_id, bits from b union all select vec_id + 1000000, list_transform(range(1, 65), lambda i: case when i <= vec_id % 16 then 1 - bits[i] else bits[i] end) from b)"
+
+
+@query("q09b_hamming_selfjoin_copies", f"with {HASHED}, {FLIPS} select a.vec_id as a, b.vec_id as b, {DIST} as dist from p a join p b on a.vec_id < b.vec_id where {DIST} <= {PLANTED}")
+def hamming_selfjoin_copies(spark, sf_dir):
+    """Every image, and a copy of it with up to fifteen bits changed."""
+    rows = grids(spark, sf_dir).select("image_id", X.ahash_bits(F.col("px")).alias("bits"))
+    flipped = F.transform("bits", lambda x, i: F.when(i < F.col("image_id") % 16, 1 - x).otherwise(x))
+    both = rows.unionByName(rows.select((F.col("image_id") + 1000000).alias("image_id"), flipped.alias("bits")))
+    return H.self_join(both.select("image_id", X.pack(F.col("bits")).alias("h")), PLANTED)
+
+
 @query("q10_hash_buckets", f"with {HASHED} select array_to_string(bits[1:6], '') as prefix, list(vec_id order by vec_id) as ids from b group by 1")
 def hash_buckets(spark, sf_dir):
     rows = grids(spark, sf_dir).select("image_id", X.bit_string(F.slice(X.ahash_bits(F.col("px")), 1, 6)).alias("prefix"))
@@ -151,11 +177,11 @@ def tta_variants(spark, sf_dir):
     return H.expand_variants(grids(spark, sf_dir).select("image_id", "px")).select("image_id", "variant", X.bit_string(X.ahash_bits(F.col("px"))).alias("bits"))
 
 
-@query("q12_hist_intersection", f"with {GRIDS}, h as (select vec_id, {HIST} as hist from e) select b.vec_id as image_id, round({COMMON}, 6) as similarity from h a, h b where a.vec_id = 0")
+@query("q12_hist_intersection", f"with {GRIDS}, h as (select vec_id, {HIST} as hist from e) select a.vec_id as query_id, b.vec_id as image_id, round({COMMON}, 6) as similarity from h a, h b where a.{ASKED}")
 def hist_intersection(spark, sf_dir):
     rows = grids(spark, sf_dir).select("image_id", X.share_histogram(F.col("px")).alias("hist"))
-    one = rows.filter("image_id = 0").select(F.col("hist").alias("own"))
-    return rows.join(F.broadcast(one)).select("image_id", F.round(X.histogram_similarity(F.col("own"), F.col("hist")), 6).alias("similarity"))
+    wanted = rows.filter(F.col("image_id") % EVERY == 0).select(F.col("image_id").alias("query_id"), F.col("hist").alias("own"))
+    return in_blocks(wanted, rows, "image_id").select("query_id", "image_id", F.round(X.histogram_similarity(F.col("own"), F.col("hist")), 6).alias("similarity"))
 
 
 @query("q13_l2_normalize", f"with {GRIDS}, n as (select vec_id, list_transform(px, lambda x: x * (1 + vec_id % 3)) as px from e) select vec_id as image_id, round(px[1] / {NORM.format('n')}, 6) as first, round(px[64] / {NORM.format('n')}, 6) as last from n")
@@ -165,37 +191,37 @@ def l2_normalize(spark, sf_dir):
     return unit.select("image_id", F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(F.get("u", F.lit(63)), 6).alias("last"))
 
 
-@query("q14_color_rerank", f"""with {GRIDS}, h as (select *, {HIST} as hist from e), s as (select b.vec_id as image_id, ({COSINE} + 1) / 2 as p, {COMMON} as c from h a, h b where a.vec_id = 0),
-w as (select unnest([0.0, 0.2, 0.8])::double as alpha), z as (select alpha, image_id, (1 - alpha) * p + alpha * c as s from s, w),
-r as (select alpha, image_id, round(s, 6) as score, row_number() over (partition by alpha order by round(s, 9) desc, image_id)::int as rank from z) select * from r where rank <= {K}""")
+@query("q14_color_rerank", f"""with {GRIDS}, h as (select *, {HIST} as hist from e), s as (select a.vec_id as query_id, b.vec_id as image_id, ({COSINE} + 1) / 2 as p, {COMMON} as c from h a, h b where a.{ASKED}),
+w as (select unnest([0.0, 0.2, 0.8])::double as alpha), z as (select alpha, query_id, image_id, (1 - alpha) * p + alpha * c as s from s, w),
+r as (select alpha, query_id, image_id, round(s, 6) as score, row_number() over (partition by query_id, alpha order by round(s, 9) desc, image_id)::int as rank from z) select * from r where rank <= {K}""")
 def color_rerank(spark, sf_dir):
     from pyspark.sql import Window
 
     rows = grids(spark, sf_dir).select("image_id", "px", X.share_histogram(F.col("px")).alias("hist"))
-    one = rows.filter("image_id = 0").select(F.col("px").alias("qpx"), F.col("hist").alias("qhist"))
-    both = rows.join(F.broadcast(one))
+    wanted = rows.filter(F.col("image_id") % EVERY == 0).select(F.col("image_id").alias("query_id"), F.col("px").alias("qpx"), F.col("hist").alias("qhist"))
+    both = in_blocks(wanted, rows, "image_id")
     pattern = X.cosine_score(X.dot(F.col("px"), F.col("qpx")) / (X.norm(F.col("px")) * X.norm(F.col("qpx"))))
-    scored = both.select("image_id", pattern.alias("p"), X.histogram_similarity(F.col("qhist"), F.col("hist")).alias("c"))
+    scored = both.select("query_id", "image_id", pattern.alias("p"), X.histogram_similarity(F.col("qhist"), F.col("hist")).alias("c"))
     blended = F.array(*(F.struct(F.lit(a).alias("alpha"), X.blend(F.col("p"), F.col("c"), a).alias("s")) for a in (0.0, 0.2, 0.8)))
-    each = scored.select("image_id", F.explode(blended).alias("z")).select("image_id", "z.alpha", "z.s")
-    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("alpha").orderBy(F.desc(F.round("s", 9)), "image_id"))).filter(F.col("rank") <= K)
-    return ranked.select("alpha", "image_id", F.round("s", 6).alias("score"), "rank")
+    each = scored.select("query_id", "image_id", F.explode(blended).alias("z")).select("query_id", "image_id", "z.alpha", "z.s")
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "alpha").orderBy(F.desc(F.round("s", 9)), "image_id"))).filter(F.col("rank") <= K)
+    return ranked.select("alpha", "query_id", "image_id", F.round("s", 6).alias("score"), "rank")
 
 
 @query("q15_dup_badge", f"with {NEAR} select query_id, image_id, min(dist) as hamming, min(dist) <= {DISTANCE} as is_duplicate from n group by query_id, image_id")
 def dup_badge(spark, sf_dir):
     images = hashed(spark, sf_dir).select("image_id", F.col("h").alias("phash"))
-    wanted = asked(spark, sf_dir, 0, 7).select("query_id", F.col("qh").alias("qph"))
-    every = images.select("image_id").join(F.broadcast(wanted.select("query_id").distinct()))
+    wanted = asked(spark, sf_dir).select("query_id", F.col("qh").alias("qph"))
+    every = in_blocks(wanted.select("query_id").distinct(), images.select("image_id"), "image_id")
     return S.least_hamming(every, images, wanted).withColumn("is_duplicate", F.col("hamming") <= DISTANCE)
 
 
-@query("q16_below_threshold", f"with {GRIDS}, s as (select b.vec_id as image_id, ({COSINE} + 1) / 2 as s from e a, e b where a.vec_id = 0) select image_id, round(s, 6) as score, round(s, 9) < 0.5 as below_threshold from s")
+@query("q16_below_threshold", f"with {GRIDS}, s as (select a.vec_id as query_id, b.vec_id as image_id, ({COSINE} + 1) / 2 as s from e a, e b where a.{ASKED}) select query_id, image_id, round(s, 6) as score, round(s, 9) < 0.5 as below_threshold from s")
 def below_threshold(spark, sf_dir):
-    rows = grids(spark, sf_dir)
-    one = rows.filter("image_id = 0").select(F.col("px").alias("q"))
+    rows = grids(spark, sf_dir).select("image_id", "px")
+    wanted = rows.filter(F.col("image_id") % EVERY == 0).select(F.col("image_id").alias("query_id"), F.col("px").alias("q"))
     score = X.cosine_score(X.dot(F.col("px"), F.col("q")) / (X.norm(F.col("px")) * X.norm(F.col("q"))))
-    return rows.join(F.broadcast(one)).select("image_id", F.round(score, 6).alias("score"), (F.round(score, 9) < 0.5).alias("below_threshold"))
+    return in_blocks(wanted, rows, "image_id").select("query_id", "image_id", F.round(score, 6).alias("score"), (F.round(score, 9) < 0.5).alias("below_threshold"))
 
 
 HYBRID = f"""{NEAR}, w as (select *, row_number() over (partition by query_id, variant order by dist, image_id) as o from n where dist <= {DISTANCE}),
@@ -207,7 +233,7 @@ y as (select c.query_id, c.image_id, coalesce(vs, hs) as score from c left join
 
 def _hybrid(spark, sf_dir):
     images = hashed(spark, sf_dir)
-    wanted = asked(spark, sf_dir, 0, 7).withColumnRenamed("px", "vec")
+    wanted = asked(spark, sf_dir).withColumnRenamed("px", "vec")
     held = images.filter("image_id % 2 = 0").select("image_id", F.col("px").alias("vec"))
     return S.by_both(wanted, images.select("image_id", "h"), held, K, DISTANCE)
 
@@ -227,7 +253,7 @@ def search_finalize(spark, sf_dir):
     path = F.concat(F.lit("img_"), F.col("image_id").cast("string"), F.lit(".png"))
     status = F.when(F.col("label") % 3 != 0, "ok").otherwise("missing")
     images = hashed(spark, sf_dir).select("image_id", path.alias("path"), P.thumb_name(path).alias("thumb"), status.alias("status"), X.share_histogram(F.col("px")).alias("color"), F.col("h").alias("phash"), F.lit(8).alias("width"), F.lit(8).alias("height"))
-    wanted = asked(spark, sf_dir, 0, 7).select("query_id", "variant", F.col("qh").alias("qph"), X.share_histogram(F.col("px")).alias("color"))
+    wanted = asked(spark, sf_dir).select("query_id", "variant", F.col("qh").alias("qph"), X.share_histogram(F.col("px")).alias("color"))
     out = S.finalize(_hybrid(spark, sf_dir), images, wanted, K, threshold=0.7)
     rounded = {c: F.round(c, 6) for c in ("score", "pattern_score", "color_sim")}
     return out.withColumn("below_threshold", F.round("score", 9) < 0.7).withColumns(rounded)
@@ -235,7 +261,7 @@ def search_finalize(spark, sf_dir):
 
 @query("q19_per_variant_limit", f"with {NEAR}, w as (select *, row_number() over (partition by query_id, variant order by dist, image_id) as o from n) select query_id, image_id, min(dist) as dist, max(1 - dist / 64) as pattern_score from w where o <= {H.candidate_width(K)} group by 1, 2")
 def per_variant_limit(spark, sf_dir):
-    return H.nearest_by_hash(asked(spark, sf_dir, 0, 7), hashed(spark, sf_dir), K, None).select("query_id", "image_id", "dist", "pattern_score")
+    return H.nearest_by_hash(asked(spark, sf_dir), hashed(spark, sf_dir), K, None).select("query_id", "image_id", "dist", "pattern_score")
 
 
 OLD = "old as (select o_orderkey::varchar as key, epoch(o_orderdate)::double as mtime, round(o_totalprice * 100)::bigint as size from orders where o_orderkey % 10 <> 0)"
@@ -282,6 +308,17 @@ def upsert_partial(spark, sf_dir):
     return C.upsert(c.filter("key % 4 <> 0"), c.filter("key % 3 = 0").select("key", (F.col("bal") * 2).alias("bal")))
 
 
+@query("q23c_upsert_repeats", """with t as (select c_custkey as key, c_name as name, c_acctbal as bal from customer where c_custkey % 4 <> 0),
+s as (select c_custkey * 2 as key, o_totalprice as bal, row_number() over (partition by c_custkey order by o_orderkey desc) as n from orders join customer on o_custkey = c_custkey), l as (select key, bal from s where n = 1)
+select coalesce(t.key, l.key) as key, t.name, case when l.key is not null then l.bal else t.bal end as bal from t full outer join l on t.key = l.key""")
+def upsert_repeats(spark, sf_dir):
+    """Rows that repeat a key: the one of the last order counts."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
+    o = table(spark, sf_dir, "orders")
+    rows = o.join(c, F.col("o_custkey") == F.col("key")).select((F.col("key") * 2).alias("key"), F.col("o_totalprice").alias("bal"), F.col("o_orderkey").alias("at"))
+    return C.upsert(c.filter("key % 4 <> 0"), rows, order_col="at")
+
+
 @query("q23b_new_ids", "select count(*) as rows, count(distinct c_custkey) as ids, min(c_custkey) filter (c_custkey % 4 <> 0) as first, count(*) + (select max(c_custkey) from customer where c_custkey % 4 <> 0) - (select count(*) from customer where c_custkey % 4 <> 0) as last from customer")
 def new_ids(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey")).alias("id"), F.col("c_name").alias("key"))
@@ -355,6 +392,12 @@ def settings_upsert(spark, sf_dir):
     return C.upsert_settings(rows.withColumn("value", F.lit("old")), rows)
 
 
+@query("q31c_settings_upsert_repeats", "select 'settings' as ns, 'k' || (user_id % 50) as key, arg_max(props, event_id) as value from events group by all")
+def settings_upsert_repeats(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.lit("settings").alias("ns"), F.concat(F.lit("k"), (F.col("user_id") % 50).cast("string")).alias("key"), F.col("props").alias("value"), "event_id")
+    return C.upsert_settings(e.select("ns", "key", F.lit("old").alias("value")).distinct(), e, "event_id")
+
+
 KEY = r"rtrim(lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', '')), '/')"
 
 
@@ -371,16 +414,17 @@ def thumb_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", P.thumb_name(F.col("url")).alias("thumb"))
 
 
-QUALITY = f"""with {GRIDS}, s as (select a.vec_id as query_id, b.vec_id as image_id, (a.label = b.label)::int as same, a.label, {COSINE} as c from e a join e b on a.vec_id % 5 = 0 and a.vec_id <> b.vec_id),
+QUALITY = f"""with {GRIDS}, s as (select a.vec_id as query_id, b.vec_id as image_id, (a.label = b.label)::int as same, a.label, {COSINE} as c from e a join e b on a.vec_id <> b.vec_id),
 r as (select *, row_number() over (partition by query_id order by round(c, 12) desc, image_id) as pos from s), f as (select label, greatest(count(*) - 1, 1) as others from e group by label),
 g as (select query_id, label, {', '.join(f'sum(same) filter (pos <= {k}) as s{k}' for k in E.CUTS)} from r group by all)"""
 
 
-def _quality(spark, sf_dir, asking: str = "image_id % 5 = 0"):
+def _quality(spark, sf_dir):
+    """Every image asks."""
     rows = grids(spark, sf_dir)
-    wanted = rows.filter(asking).select(F.col("image_id").alias("query_id"), F.lit(0).alias("variant"), F.col("px").alias("vec"))
+    wanted = rows.select(F.col("image_id").alias("query_id"), F.lit(0).alias("variant"), F.col("px").alias("vec"))
     near = V.nearest_by_cosine(wanted, rows.withColumnRenamed("px", "vec"), max(E.CUTS) + 1)
-    return E.quality(near, rows.select("image_id", F.col("label").alias("family")))
+    return E.quality(near, rows.select("image_id", F.col("label").alias("family")), asked=wanted)
 
 
 @query("q34_family_hit_at_k", QUALITY + " select count(*) as n, " + ", ".join(f"round(avg((s{k} > 0)::int), 6) as hit_{k}" for k in E.CUTS) + " from g")
@@ -393,18 +437,22 @@ def family_recall(spark, sf_dir):
     return _quality(spark, sf_dir).select(*(F.round(f"recall_{k}", 6).alias(f"recall_{k}") for k in E.CUTS))
 
 
-# The same with every image as a query.
-QUALITY_ALL = QUALITY.replace("a.vec_id % 5 = 0 and ", "")
-
+CLOSE = 18
+HASH_QUALITY = f"""with {HASHED}, s as (select a.vec_id as query_id, (a.label = b.label)::int as same, row_number() over (partition by a.vec_id order by {DIST}, b.vec_id) as pos from b a join b on a.vec_id <> b.vec_id where {DIST} <= {CLOSE}),
+g as (select e.vec_id, {', '.join(f'coalesce(sum(same) filter (pos <= {k}), 0) as s{k}' for k in E.CUTS)} from e left join s on s.query_id = e.vec_id group by all)"""
 
-@query("q34b_family_hit_at_k_all", QUALITY_ALL + " select count(*) as n, " + ", ".join(f"round(avg((s{k} > 0)::int), 6) as hit_{k}" for k in E.CUTS) + " from g")
-def family_hit_all(spark, sf_dir):
-    return _quality(spark, sf_dir, "true").select("n", *(F.round(f"hit_{k}", 6).alias(f"hit_{k}") for k in E.CUTS))
 
+@query("q34c_family_hit_by_hash", HASH_QUALITY + " select count(*) as n, " + ", ".join(f"round(avg((s{k} > 0)::int), 6) as hit_{k}" for k in E.CUTS) + " from g")
+def family_hit_by_hash(spark, sf_dir):
+    """By hash within a distance, where most images have no hit at all and count as misses."""
+    from pyspark.sql import Window
 
-@query("q35b_family_recall_at_k_all", QUALITY_ALL + " select " + ", ".join(f"round(avg(s{k} / others), 6) as recall_{k}" for k in E.CUTS) + " from g join f on f.label = g.label")
-def family_recall_all(spark, sf_dir):
-    return _quality(spark, sf_dir, "true").select(*(F.round(f"recall_{k}", 6).alias(f"recall_{k}") for k in E.CUTS))
+    pairs = H.self_join(hashed(spark, sf_dir), CLOSE)
+    both = pairs.select(F.col("a").alias("query_id"), F.col("b").alias("image_id"), "dist").unionByName(pairs.select(F.col("b").alias("query_id"), F.col("a").alias("image_id"), "dist"))
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "image_id")))
+    rows = grids(spark, sf_dir)
+    found = E.quality(ranked, rows.select("image_id", F.col("label").alias("family")), asked=rows.select(F.col("image_id").alias("query_id")))
+    return found.select("n", *(F.round(f"hit_{k}", 6).alias(f"hit_{k}") for k in E.CUTS))
 
 
 @query("q36_debounce_sessions", """with o as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) > interval 30 second then 1 else 0 end as b from events),
@@ -428,28 +476,38 @@ def family_names(spark, sf_dir):
 @query("q38_lsh_knn")
 def lsh_knn(spark, sf_dir):
     rows = grids(spark, sf_dir).withColumnRenamed("px", "vec")
-    return V.nearest_approximate(rows.filter("image_id % 100 = 0").select(F.col("image_id").alias("query_id"), "vec"), rows, K)
+    return V.nearest_approximate(rows.filter(F.col("image_id") % EVERY == 0).select(F.col("image_id").alias("query_id"), "vec"), rows, K)
+
+
+@query("q38b_lsh_recall", f"select count(*) as queries, count(*) * {K} as rows, true as recall_reached from embeddings where {ASKED}")
+def lsh_recall(spark, sf_dir):
+    """Whether the approximate search finds nine tenths of what the exact one does, and k rows for each query."""
+    rows = grids(spark, sf_dir).withColumnRenamed("px", "vec")
+    wanted = rows.filter(F.col("image_id") % EVERY == 0).select(F.col("image_id").alias("query_id"), F.lit(0).alias("variant"), "vec")
+    near = V.nearest_approximate(wanted, rows, K).select("query_id", "image_id", F.lit(1).alias("near"))
+    exact = V.nearest_by_cosine(wanted, rows, K).select("query_id", "image_id", F.lit(1).alias("exact"))
+    both = near.join(exact, ["query_id", "image_id"], "full_outer")
+    return both.agg(F.countDistinct("query_id").alias("queries"), F.count("near").alias("rows"), (F.count(F.col("near") + F.col("exact")) >= 0.9 * F.count("exact")).alias("recall_reached"))
 
 
 @query("q39_stream_incremental", "select event_type, count(*) as n, sum(event_id)::bigint as ids from events group by event_type")
 def stream_incremental(spark, sf_dir):
-    """Events come as a stream of files; each micro-batch is merged into a catalog by key."""
-    own = tempfile.mkdtemp(prefix="loomlake-stream-")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{own}"
-    place = f"{shared.rstrip('/')}/loomlake-stream/{spark.sparkContext.applicationId}-{own.rpartition('-')[2]}"
+    """Events come as a stream of files; each micro-batch is merged into a catalog by key, and a batch that runs twice changes nothing."""
     schema = table(spark, sf_dir, "events").schema
+    place = W.scratch(spark, "stream")
+    held = W.Merged(spark, f"{place}/events", schema, "event_id", "ts")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    W.watch(stream, lambda batch: batch.write.mode("append").parquet(f"{place}/rows"), f"{place}/state", every=None).awaitTermination()
-    return spark.read.schema(schema).parquet(f"{place}/rows").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    W.merge_into(stream, held, f"{place}/state").awaitTermination()
+    return held.table().groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query("q40_hamming_words", f"with {HASHED}, {FREQ}, g as (select vec_id, {MEDIAN.format('f')} as d, f from f), p as (select b.vec_id, list_concat(b.bits, list_transform(f, lambda x: (x > d)::int)) as bits from g join b on b.vec_id = g.vec_id) select b.vec_id as image_id, list_sum(list_transform(range(1, 129), lambda i: (a.bits[i] <> b.bits[i])::int))::int as dist from p a, p b where a.vec_id = 0")
+@query("q40_hamming_words", f"with {HASHED}, {FREQ}, g as (select vec_id, {MEDIAN.format('f')} as d, f from f), p as (select b.vec_id, list_concat(b.bits, list_transform(f, lambda x: (x > d)::int)) as bits from g join b on b.vec_id = g.vec_id) select a.vec_id as query_id, b.vec_id as image_id, list_sum(list_transform(range(1, 129), lambda i: (a.bits[i] <> b.bits[i])::int))::int as dist from p a, p b where a.{ASKED}")
 def long_hashes(spark, sf_dir):
     """Hashes of 128 bits, as two words."""
     words = X.pack_words(F.concat(X.ahash_bits(F.col("px")), X.phash_bits(F.col("px"))))
     rows = grids(spark, sf_dir).select("image_id", words.alias("h"))
-    one = rows.filter("image_id = 0").select(F.col("h").alias("q"))
-    return rows.join(F.broadcast(one)).select("image_id", X.hamming_words(F.col("h"), F.col("q")).alias("dist"))
+    wanted = rows.filter(F.col("image_id") % EVERY == 0).select(F.col("image_id").alias("query_id"), F.col("h").alias("q"))
+    return in_blocks(wanted, rows, "image_id").select("query_id", "image_id", X.hamming_words(F.col("h"), F.col("q")).alias("dist"))
 
 
 @query("q41_hash_blobs", f"with {HASHED} select vec_id as image_id, true as same, 8 as bytes from b")
