@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from functools import cache
 
 import numpy as np
@@ -26,16 +28,37 @@ def luma(rgb: np.ndarray) -> np.ndarray:
     return (r * 299 + g * 587 + b * 114 + 500) // 1000
 
 
+def _lanczos(x: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(x) < LANCZOS, np.sinc(x) * np.sinc(x / LANCZOS), 0.0)
+
+
+def _cubic(x: np.ndarray) -> np.ndarray:
+    x = np.abs(x)
+    return np.where(x < 1, 1.5 * x**3 - 2.5 * x**2 + 1, np.where(x < 2, -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2, 0.0))
+
+
 @cache
-def resample_weights(old: int, new: int) -> np.ndarray:
-    """A row for each new pixel: the weights of old pixels under a Lanczos window as wide as a shrink needs."""
+def resample_weights(old: int, new: int, kernel: str = "lanczos") -> np.ndarray:
+    """A row for each new pixel: the weights of old pixels under a window as wide as a shrink needs."""
     scale = max(old / new, 1.0)
     centre = (np.arange(new)[:, None] + 0.5) * old / new
-    x = (np.arange(old)[None, :] + 0.5 - centre) / scale
-    w = np.where(np.abs(x) < LANCZOS, np.sinc(x) * np.sinc(x / LANCZOS), 0.0)
+    w = {"lanczos": _lanczos, "cubic": _cubic}[kernel]((np.arange(old)[None, :] + 0.5 - centre) / scale)
     return w / w.sum(1, keepdims=True)
 
 
+@cache
+def area_weights(old: int, new: int) -> np.ndarray:
+    """A row for each new pixel: how much of it each old pixel covers."""
+    begin = np.arange(new)[:, None] * old / new
+    at = np.arange(old)[None, :]
+    covered = np.clip(np.minimum(at + 1, begin + old / new) - np.maximum(at, begin), 0, None)
+    return covered / covered.sum(1, keepdims=True)
+
+
+def averaged(grey: np.ndarray, width: int, height: int) -> np.ndarray:
+    return np.rint(area_weights(grey.shape[0], height) @ grey @ area_weights(grey.shape[1], width).T)
+
+
 def resized(grey: np.ndarray, width: int, height: int) -> np.ndarray:
     out = resample_weights(grey.shape[0], height) @ grey @ resample_weights(grey.shape[1], width).T
     return np.clip(np.rint(out), 0, 255)
@@ -92,9 +115,9 @@ def color_histogram(rgb: np.ndarray) -> np.ndarray:
 def embedding(rgb: np.ndarray, color: np.ndarray | None = None) -> np.ndarray:
     """Standardised grey grid, orientations of edges by cell, colours: 256 + 128 + 72 numbers."""
     grey = luma(rgb).astype(float)
-    grid = resized(grey, GRID, GRID).ravel()
+    grid = averaged(grey, GRID, GRID).ravel()
     grid = (grid - grid.mean()) / (grid.std() + 1e-6)
-    px = resized(grey, 64, 64)
+    px = averaged(grey, 64, 64)
     edge = np.pad(px, 1, mode="reflect")
     smooth = lambda m, axis: np.take(m, range(0, 64), axis) + 2 * np.take(m, range(1, 65), axis) + np.take(m, range(2, 66), axis)
     dx = smooth(edge[:, 2:] - edge[:, :-2], 0)
@@ -120,3 +143,12 @@ def thumbnail(rgb: np.ndarray, most: int = 256) -> tuple[int, int, bytes]:
     w, h = max(1, round(width * scale)), max(1, round(height * scale))
     px = np.stack([resized(rgb[:, :, i].astype(float), w, h) for i in range(3)], axis=2) if scale < 1 else rgb
     return w, h, np.ascontiguousarray(px, np.uint8).tobytes()
+
+
+def png(width: int, height: int, rgb: bytes) -> bytes:
+    """A PNG file of rows of red, green, blue."""
+    lines = np.zeros((height, 1 + 3 * width), np.uint8)
+    lines[:, 1:] = np.frombuffer(rgb, np.uint8).reshape(height, 3 * width)
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines.tobytes(), 6)) + part(b"IEND", b"")

@@ -31,6 +31,11 @@ def is_unc(path: Column) -> Column:
     return path.startswith("\\\\") | path.startswith("//")
 
 
+def is_network_path(path: Column) -> Column:
+    """On another machine by its form: a share, or a URI of another scheme than file."""
+    return is_unc(path) | (path.rlike("^[A-Za-z][A-Za-z0-9+.-]+:/") & ~F.lower(path).startswith("file:"))
+
+
 def normalize_key(path: Column) -> Column:
     """Without empty and . parts, and with .. parts folded; a leading slash stays, and what leads above it goes."""
     parts = F.filter(F.split(clean_path(path), "/"), lambda p: (p != "") & (p != "."))

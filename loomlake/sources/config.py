@@ -26,6 +26,7 @@ class Config:
     duplicate_hamming: int = 8
     score_threshold: float = 0.0
     rescan_interval_sec: int = 0
+    model_path: str = ""
 
     def uses_embedding(self) -> bool:
         return self.backend in ("embedding", "hybrid")
