@@ -26,11 +26,13 @@ BROADCAST_ROWS = 100_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one in spark.checkpoint.dir. Where that is unset, as in tests on one machine, a temporary folder is made
-    and set for the session, and goes when the driver ends.
+    It is the one in spark.checkpoint.dir. Where that is unset and there is only this machine, as in tests, a temporary
+    folder is made and set for the session, and goes when the driver ends; on a cluster it must be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="loomlake-")
         atexit.register(shutil.rmtree, own, True)
         found = f"file://{own}"
@@ -41,11 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
 @cache
 def _own_folder(folder: str, session: SparkSession) -> str:
     """The application's folder, which goes when the driver's Python ends; results are read from it until then."""
+    settings = session._jsc.hadoopConfiguration()  # with what gives access to the folder's store
 
     def remove() -> None:
         try:
             path = session._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(session._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+            path.getFileSystem(settings).delete(path, True)
         except Exception as e:  # the JVM has gone first
             log.warning("left %s: %s", folder, e)
 

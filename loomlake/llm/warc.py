@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import cut, new_path
+from .util import cut, new_path, small
 
 #: Payloads of fewer bytes are always responses.
 LEAST = 100
@@ -34,9 +34,21 @@ def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
     payload = F.coalesce(pages[payload_col], F.lit("")).cast("binary")
     rows = cut(pages.select(pages[id_col].cast("bigint").alias("page_id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).filter(f"n >= {LEAST} and page_id is not null").select("page_id", "digest"), "payloads")
     heads = rows.groupBy(F.col("digest").alias("_digest")).agg(F.min("page_id").alias("first"), F.max("page_id").alias("most")).filter("first <> most").select("_digest", "first")
+    heads = small(cut(heads, "payload-heads"))  # a payload that very many pages share is then not in one task
     return cut(rows.join(heads, F.col("digest") == F.col("_digest")).filter("page_id <> first").select("page_id", "digest", "first").distinct(), "revisits")
 
 
+def _store(uri: str):
+    """The file system of a URI, and the path in it. Stores that Arrow doesn't reach are an error, on the driver already."""
+    from pyarrow import fs
+
+    scheme, mark, rest = uri.partition("://")
+    known = {"s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "file": "file", "s3": "s3", "abfss": "abfss", "abfs": "abfs"}
+    if mark and scheme not in known:
+        raise ValueError(f"archives can't be kept in {scheme}://; known: {', '.join(known)}")
+    return fs.FileSystem.from_uri(f"{known[scheme]}://{rest}" if mark else uri)
+
+
 def _record_id(page: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{digest}')}>"
 
@@ -68,21 +80,20 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
+    _store(folder)
     seen = revisits(pages, id_col, payload_col).withColumnRenamed("page_id", "_page").withColumnRenamed("digest", "_digest")
     payload = F.coalesce(pages[payload_col], F.lit("")).cast("binary")
     rows = pages.select(pages[id_col].cast("bigint").alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     rows = rows.join(seen, (F.col("page_id") == F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "payload", "digest", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         out, path, done, segments, begin, count = None, "", 0, [], 0, 0
         for batch in batches:
             for page, url, payload, digest, first in zip(*(batch.column(i) for i in range(5))):
                 page, url, digest, first = page.as_py(), url.as_py(), digest.as_py(), first.as_py()
                 data = memoryview(payload.as_buffer())
                 if out is None:
-                    store, top = fs.FileSystem.from_uri(folder)
+                    store, top = _store(folder)
                     store.create_dir(top, recursive=True)
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     path, out = f"{folder}/{name}", store.open_output_stream(f"{top}/{name}", compression=None)
@@ -188,14 +199,12 @@ def read_chunks(manifest: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         names = [x.split()[0] for x in CHUNKS.split(", ")]
         kinds = [{"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}[x.split()[1]] for x in CHUNKS.split(", ")]
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
         for batch in batches:
             for row in batch.to_pylist():
-                store, path = fs.FileSystem.from_uri(row["path"])
+                store, path = _store(row["path"])
                 rows, total = [], 0
                 with store.open_input_file(path) as source:
                     source.seek(row["begin"])

@@ -64,6 +64,12 @@ def test_warc_chunks_join_up(spark, page_rows):
     assert warc.round_trip(pages_of(spark, [])).count() == 0
 
 
+def test_warc_stores():
+    assert warc._store("file:///tmp/x")[1] == "/tmp/x"
+    with pytest.raises(ValueError, match="odd"):
+        warc._store("odd://x/y")
+
+
 def test_warc_finds_damage():
     head, _ = warc._head(1, "u", hashlib.sha256(b"other").hexdigest(), 4, None)
     import io
