@@ -39,7 +39,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one that spark.checkpoint.dir names; below a temporary one where it is unset, if this is the only machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="loomlake-")
         atexit.register(shutil.rmtree, own, True)
