@@ -7,6 +7,8 @@ line breaks are written as %25 and %0A.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,29 +42,31 @@ def climbs(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """For 1, 2, 4, ... steps up the node that each node comes to; and total of each rooted node: what its path's scores add up to.
 
     nodes (a written table): tree, node, parent, score, each node once. A node whose parent is null or not in its tree is a
-    root. Each round joins the table with itself and doubles the steps, so a path of n nodes takes log2(n) rounds of as many
-    rows as there are nodes. Nodes that lead into a circle have no root, and no total.
+    root. Each round joins what isn't at its root yet with the ancestors there, and doubles the steps, so a path of n nodes
+    takes log2(n) rounds. Nodes that lead into a circle have no root, and no total.
     """
     known = nodes.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"))
     linked = nodes.join(known, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("parent") == F.col("_node")), "left")
-    now = cut(linked.select("tree", "node", F.col("_node").alias("over"), F.coalesce("score", F.lit(0.0)).alias("total")), "climbs")
-    jumps, step, most = [], 1, nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while step < most and not (jump := now.filter("over is not null")).isEmpty():
-        jumps.append(jump.select("tree", "node", "over"))
-        above = now.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("over").alias("_over"), F.col("total").alias("_total"))
-        both = now.join(above, _same("_tree", "over"), "left")
-        now = cut(both.select("tree", "node", F.col("_over").alias("over"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")), "climbs")
+    first = cut(linked.select("tree", "node", F.col("_node").alias("over"), F.coalesce("score", F.lit(0.0)).alias("total")), "climbs")
+    done, open_, jumps = [first.filter("over is null")], first.filter("over is not null"), []
+    step, most = 1, nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    while step < most and not open_.isEmpty():  # nodes that are at their root already only serve those that aren't
+        jumps.append(open_.select("tree", "node", "over"))
+        above = reduce(DataFrame.unionByName, [*done, open_]).select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("over").alias("_over"), F.col("total").alias("_total"))
+        climbed = cut(open_.join(above, _same("_tree", "over")).select("tree", "node", F.col("_over").alias("over"), (F.col("total") + F.col("_total")).alias("total")), "climbs")
+        done, open_ = [*done, climbed.filter("over is null")], climbed.filter("over is not null")
         step *= 2
-    return jumps, now.filter("over is null").select("tree", "node", "total")
+    return jumps, reduce(DataFrame.unionByName, done).select("tree", "node", "total")
 
 
 def paths(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
     """tree, leaf, rank, node, height (steps up from the leaf) for each node above the leaves (tree, leaf, rank)."""
-    found = leaves.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("bigint").alias("height"))
+    found = [leaves.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("bigint").alias("height"))]
     for i, jump in enumerate(jumps):
         over = jump.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("over").alias("_over"))
-        found = cut(found.unionByName(found.join(over, _same("_tree", "node")).select("tree", "leaf", "rank", F.col("_over").alias("node"), (F.col("height") + (1 << i)).alias("height"))), "paths")
-    return found
+        below = reduce(DataFrame.unionByName, found)
+        found.append(cut(below.join(over, _same("_tree", "node")).select("tree", "leaf", "rank", F.col("_over").alias("node"), (F.col("height") + (1 << i)).alias("height")), "paths"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def format_branches(nodes: DataFrame, branches: int = 1) -> DataFrame:
