@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import cut
+from .util import by_key, cut
 
 
 #: Links, of sixteen bytes each, up to which one task joins them up.
@@ -42,7 +42,7 @@ def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_least(pairs: DataFrame) -> DataFrame:
     """u, v, m of pairs u, v: m is the least of u and of all v beside it."""
     least = pairs.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m"))
-    return pairs.join(least, F.col("u") == F.col("_u")).select("u", "v", F.least("u", "m").alias("m"))
+    return pairs.join(by_key(least), F.col("u") == F.col("_u")).select("u", "v", F.least("u", "m").alias("m"))
 
 
 def _stars(links: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .rolling import mix
 from .shingles import shingle_sets
-from .util import byte_slices, cut, fresh, give_back, small
+from .util import by_key, byte_slices, cut, fresh, give_back, small
 
 COLLECTION = 9
 ROWS = 2
@@ -118,7 +118,7 @@ def _sketched(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """pairs a, b with na, nb (sizes), used and apart: places that one of their sketches has, and in which they differ."""
     one = sigs.select(F.col("doc_id").alias("_a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
     two = sigs.select(F.col("doc_id").alias("_b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-    both = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
+    both = pairs.join(by_key(one), F.col("a") == F.col("_a")).join(by_key(two), F.col("b") == F.col("_b"))
     return both.selectExpr("a", "b", "na", "nb", f"{_full_bytes('sa', '|', 'sb')} as used", f"{_full_bytes('sa', '^', 'sb')} as apart")
 
 
@@ -147,8 +147,8 @@ def compare(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
     """
     wanted = small(cut(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "wanted-ids"))
     texts = cut(docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text")).join(wanted, F.col("id") == F.col("_id"), "left_semi").distinct(), "pair-texts")
-    second = pairs.select("a", "b").join(texts.withColumnRenamed("text", "tb"), F.col("b") == F.col("id")).drop("id")
-    both = second.join(texts.withColumnRenamed("text", "ta"), F.col("a") == F.col("id")).select("a", "b", "ta", "tb")
+    second = pairs.select("a", "b").join(by_key(texts.withColumnRenamed("text", "tb")), F.col("b") == F.col("id")).drop("id")
+    both = second.join(by_key(texts.withColumnRenamed("text", "ta")), F.col("a") == F.col("id")).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_text, last = None, None
@@ -200,34 +200,34 @@ class _Links:
     def placed(self, rows: DataFrame, doc: str, out: str) -> DataFrame:
         """rows with the component of doc, itself if it has none yet."""
         parts = self.parts.select(F.col("node").alias("_node"), F.col("component").alias("_part"))
-        return rows.join(parts, F.col(doc) == F.col("_node"), "left").withColumn(out, F.coalesce("_part", doc)).drop("_node", "_part")
+        return rows.join(by_key(parts), F.col(doc) == F.col("_node"), "left").withColumn(out, F.coalesce("_part", doc)).drop("_node", "_part")
 
     def stars(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
         """members (key, doc_id; written) with their key's leader and state (linked, near or far), and the near comparisons."""
         size = members.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n"))
-        sized = members.join(size, F.col("key") == F.col("_key")).select("key", "doc_id", "n")
+        sized = members.join(by_key(size), F.col("key") == F.col("_key")).select("key", "doc_id", "n")
         score = sized.groupBy(F.col("doc_id").alias("_doc")).agg(F.sum("n").alias("score"))
-        scored = sized.join(score, F.col("doc_id") == F.col("_doc")).select("key", "doc_id", "score")
+        scored = sized.join(by_key(score), F.col("doc_id") == F.col("_doc")).select("key", "doc_id", "score")
         leader = scored.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct(F.col("score"), -F.col("doc_id"))).alias("top")).select("_key", (-F.col("top")["col2"]).alias("leader"))
-        led = cut(members.join(leader, F.col("key") == F.col("_key")).filter("doc_id <> leader").select("key", "doc_id", "leader"), "led-members")
+        led = cut(members.join(by_key(leader), F.col("key") == F.col("_key")).filter("doc_id <> leader").select("key", "doc_id", "leader"), "led-members")
         pairs = led.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
         sketched = cut(_sketched(pairs, self.sigs), "star-sketches")
         near = cut(compare(cut(sketched.filter(f"used - apart >= {FAR} * used").select("a", "b"), "near-pairs"), self.docs, *self.how, deltas=True), "near-stars")
         self._keep(near)
         state = near.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "linked")
-        led = led.join(state, (F.col("leader") == F.col("_a")) & (F.col("doc_id") == F.col("_b")), "left")
+        led = led.join(by_key(state), (F.col("leader") == F.col("_a")) & (F.col("doc_id") == F.col("_b")), "left")
         kind = F.when(F.col("linked"), "linked").when(F.col("linked").isNotNull(), "near").otherwise("far")
         return cut(led.select("key", "doc_id", "leader", kind.alias("state")), "states"), near
 
     def far_pairs(self, states: DataFrame) -> DataFrame:
         """Far members of a key with others that aren't linked to its leader, where sketches allow a link."""
         own = self.sigs.select(F.col("doc_id").alias("_doc"), "n_shingles", "sketch")
-        rows = self.placed(states.filter("state <> 'linked'"), "doc_id", "c").join(own, F.col("doc_id") == F.col("_doc")).select("key", "doc_id", "state", "c", "n_shingles", "sketch")
+        rows = self.placed(states.filter("state <> 'linked'"), "doc_id", "c").join(by_key(own), F.col("doc_id") == F.col("_doc")).select("key", "doc_id", "state", "c", "n_shingles", "sketch")
         rows = cut(rows, "apart-members")
         percent = self.how[1]
         likely = f"100 * least(l.n_shingles, r.n_shingles) >= {percent} * greatest(l.n_shingles, r.n_shingles) and {_bits_apart('l.sketch', 'r.sketch')} <= {_most_bits_apart(percent)}"
         where = F.expr(f"l.key = r.key and l.c <> r.c and (l.state <> 'far' or l.doc_id < r.doc_id) and {likely}")
-        both = rows.alias("l").join(rows.filter("state = 'far'").alias("r"), where)
+        both = rows.alias("l").join(by_key(rows.filter("state = 'far'")).alias("r"), where)
         return both.select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b"))
 
     def near_pairs(self, near: DataFrame) -> DataFrame:
@@ -237,19 +237,19 @@ class _Links:
         rows = cut(self.placed(near, "b", "c"), "placed-stars")
         wide = rows.drop("outside")
         apart = wide.filter("not linked")
-        smaller = wide.filter("nb < na").alias("l").join(apart.alias("r"), (F.col("l.a") == F.col("r.a")) & enough)
+        smaller = wide.filter("nb < na").alias("l").join(by_key(apart).alias("r"), (F.col("l.a") == F.col("r.a")) & enough)
 
         by_shingle = rows.select("a", "b", "c", "linked", F.explode("outside").alias("s")).withColumn("key", F.xxhash64("a", "s")).drop("s")
         mixed = by_shingle.groupBy(F.col("key").alias("_key")).agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.bool_and("linked").alias("all")).filter("c0 <> c1 and not all").select("_key")
-        held = by_shingle.join(mixed, F.col("key") == F.col("_key")).select(F.col("a").alias("_a"), F.col("b").alias("_b"), "key")
-        held = cut(held.join(wide, (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b"))).drop("_a", "_b"), "outside-members")
-        sharing = held.alias("l").join(held.filter("not linked").alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.a") == F.col("r.a")) & enough)
+        held = by_shingle.join(by_key(mixed), F.col("key") == F.col("_key")).select(F.col("a").alias("_a"), F.col("b").alias("_b"), "key")
+        held = cut(held.join(by_key(wide), (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b"))).drop("_a", "_b"), "outside-members")
+        sharing = held.alias("l").join(by_key(held.filter("not linked")).alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.a") == F.col("r.a")) & enough)
         pair = lambda df: df.select(F.least("l.b", "r.b").alias("a"), F.greatest("l.b", "r.b").alias("b"))
         return pair(smaller).unionByName(pair(sharing))
 
     def meet(self, pairs: DataFrame) -> None:
         """Compares pairs that haven't been, where sketches allow a link."""
-        fresh = cut(pairs.distinct().join(self.tried, (F.col("a") == F.col("_ta")) & (F.col("b") == F.col("_tb")), "left_anti"), "pairs")
+        fresh = cut(pairs.distinct().join(by_key(self.tried), (F.col("a") == F.col("_ta")) & (F.col("b") == F.col("_tb")), "left_anti"), "pairs")
         fresh = cut(_sketched(fresh, self.sigs).filter(_likely("na", "nb", "apart", "used", self.how[1])).select("a", "b"), "likely-pairs")
         if not fresh.isEmpty():
             self._keep(cut(compare(fresh, self.docs, *self.how, deltas=False), "compared"))
@@ -265,7 +265,7 @@ def filter_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     own_id, own_hash, number = fresh(docs, "own_id", "own_hash", "number")
     out = found.filter("not kept").select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
     text_hash = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    kept = docs.join(out, (docs[id_col] == F.col(own_id)) & (text_hash == F.col(own_hash)), "left_anti")
+    kept = docs.join(by_key(out), (docs[id_col] == F.col(own_id)) & (text_hash == F.col(own_hash)), "left_anti")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     order = Window.partitionBy(kept[id_col]).orderBy(F.xxhash64(F.coalesce(kept[text_col], F.lit(""))))
@@ -288,16 +288,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     keys = _keys(reps.select("doc_id", "bands"))
     buckets = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least <> most").select(F.col("key").alias("_key"))
     links = _Links(docs, reps, words, percent, id_col, text_col)
-    links.resolve(cut(keys.join(buckets, F.col("key") == F.col("_key")).select("key", "doc_id"), "bucket-members"))
+    links.resolve(cut(keys.join(by_key(buckets), F.col("key") == F.col("_key")).select("key", "doc_id"), "bucket-members"))
     found = links.parts
 
-    nodes = cut(classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("set_hash").alias("_hash"), F.coalesce("component", "rep").alias("component"), "n"), "set-components")
+    nodes = cut(classes.join(by_key(found), F.col("rep") == F.col("node"), "left").select(F.col("set_hash").alias("_hash"), F.coalesce("component", "rep").alias("component"), "n"), "set-components")
     rows = sigs.select("doc_id", "n_shingles", "set_hash", "text_hash")
     # sets of very many rows meet their component by a broadcast, rows without a set meet none, so no task gets all of either
     often = small(nodes.filter(F.col("n") > OFTEN).select(F.col("_hash").alias("_often"), F.col("component").alias("often")))
     rows = cut(rows.join(often, F.col("set_hash") == F.col("_often"), "left").drop("_often"), "often-components")
     done = rows.filter("set_hash is null or often is not null").withColumnRenamed("often", "component")
-    rest = rows.filter("set_hash is not null and often is null").drop("often").join(nodes.drop("n"), F.col("set_hash") == F.col("_hash"), "left").drop("_hash")
+    rest = rows.filter("set_hash is not null and often is null").drop("often").join(by_key(nodes.drop("n")), F.col("set_hash") == F.col("_hash"), "left").drop("_hash")
     out = done.unionByName(rest)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")

@@ -68,9 +68,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """df with a hint that joins move it by key. Spark's estimates take files by their compressed size and leave out what explode adds, so it would broadcast tables that no driver holds."""
+    return df.hint("merge")
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is a written table of at most so many narrow rows; as it is otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if it is a written table of at most so many narrow rows; moved by key otherwise."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else by_key(df)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

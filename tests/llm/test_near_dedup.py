@@ -146,3 +146,19 @@ def test_maps_bound_what_is_shared(spark):
 def test_miss_probability():
     miss = lambda s: 1 - (1 - (1 - s**N.ROWS) ** N.COLLECTION) ** 2
     assert miss(0.8) < 3e-4 and miss(0.9) < 1e-6 and np.diff([miss(x) for x in (0.8, 0.9, 0.95)]).max() < 0
+
+
+def test_only_counted_tables_are_broadcast(spark, monkeypatch):
+    """Spark's estimates leave out what explode adds and take files by their compressed size, so joins don't go by them."""
+    plans = {}
+
+    def kept(df, name, cut=N.cut):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return cut(df, name)
+
+    monkeypatch.setattr(N, "cut", kept)
+    texts = family(4, 20) + family(5, 20, 60)
+    found = N.filter_documents(documents(spark, [*enumerate(texts + texts)]), 4, 80)
+    plans["result"] = found._jdf.queryExecution().executedPlan().toString()
+    assert {"bucket-members", "led-members", "star-sketches", "placed-stars", "pairs", "result"} <= plans.keys()
+    assert {name for name, plan in plans.items() if "BroadcastHashJoin" in plan} <= {"pair-texts", "often-components"}
