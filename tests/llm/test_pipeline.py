@@ -14,6 +14,7 @@ import corpus_pipeline
 from loomlake.llm import quality, registry, suffix_dedup
 from loomlake.llm.tokens import Pieces
 
+from .conftest import documents
 from .test_near_dedup import brute as near_brute
 from .test_suffix_dedup import brute as marks_of
 
@@ -84,3 +85,12 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).schema.simpleString() == docs.schema.simpleString()
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_dedup_stage_broadcasts_no_table_by_estimate(spark):
+    """What the stage leaves out is a large share of the documents; Spark's estimate of it is its compressed size."""
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = documents(spark, [(i, text if i % 2 else " ".join(f"v{i}x{n}" for n in range(50))) for i in range(40)])
+    out = corpus_pipeline.minhash_near_dedup(spark, docs, "")
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in out.collect()) == sorted([1, *range(0, 40, 2)])
