@@ -118,3 +118,28 @@ def test_quality(spark):
     families = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "image_id bigint, family string")
     row = E.quality(results, families, (1, 2)).first()
     assert (row.n, row.hit_1, row.hit_2, row.recall_1, row.recall_2) == (2, 0.5, 1.0, 0.5, 1.0)
+
+
+def test_far_self_joins_compare_all_hashes_by_tiles(spark, hashes, monkeypatch):
+    """Beyond BAND_PLACES no values around hashes are listed (6,428 of each at 17), no table is broadcast by an estimate, and signs, copies and blocks don't matter."""
+    rows = [*hashes.items(), (300, -1), (301, 0), (302, -(1 << 63)), (303, hashes[7]), (304, hashes[7]), (999, None)]
+    images = spark.createDataFrame(rows, "image_id bigint, h bigint")
+    held = dict(rows[:-1])
+    for limit, tile in ((9, 16_384), (17, 50), (22, 16_384), (22, 7), (64, 50)):
+        monkeypatch.setattr(H, "TILE", tile)
+        monkeypatch.setattr(H, "BATCH_PAIRS", 100)
+        out = H.self_join(images, limit)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "MapInArrow" in plan
+        got = [(r.a, r.b, r.dist) for r in out.collect()]
+        expected = {(a, b, ((held[a] ^ held[b]) & ((1 << 64) - 1)).bit_count()) for a, b in pairs(held, held, limit) if a < b}
+        assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_near_self_joins_broadcast_nothing_by_estimate(spark, hashes):
+    rows = [*hashes.items(), *((1000 + i, signed((h & ((1 << 64) - 1)) ^ (1 << i % 60) ^ 1)) for i, h in hashes.items())]
+    out = H.self_join(spark.createDataFrame(rows, "image_id bigint, h bigint"), 8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "MapInArrow" not in plan
+    held = dict(rows)
+    assert {(r.a, r.b) for r in out.collect()} == {(a, b) for a, b in pairs(held, held, 8) if a < b}
