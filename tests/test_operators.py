@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from loomlake.operators import evaluate as E
 from loomlake.operators import hamming as H
 from loomlake.operators import search as S
 from loomlake.operators import vectors as V
+from loomlake.plans import catalogue
 
 
 def signed(x: int) -> int:
@@ -143,3 +146,13 @@ def test_near_self_joins_broadcast_nothing_by_estimate(spark, hashes):
     assert "Broadcast" not in plan and "MapInArrow" not in plan
     held = dict(rows)
     assert {(r.a, r.b) for r in out.collect()} == {(a, b) for a, b in pairs(held, held, 8) if a < b}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_banded_self_join_writes_no_values_around_hashes(spark):
+    """At a distance of 17 a hash has 6,428 values around it in its bands."""
+    plan = catalogue.queries()["q09_hamming_selfjoin_banded"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "value#" not in plan
