@@ -448,8 +448,10 @@ def family_hit_by_hash(spark, sf_dir):
     from pyspark.sql import Window
 
     pairs = H.self_join(hashed(spark, sf_dir), CLOSE)
-    both = pairs.select(F.col("a").alias("query_id"), F.col("b").alias("image_id"), "dist").unionByName(pairs.select(F.col("b").alias("query_id"), F.col("a").alias("image_id"), "dist"))
-    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "image_id")))
+    ways = F.array(*(F.struct(F.col(x).alias("query_id"), F.col(y).alias("image_id")) for x, y in ("ab", "ba")))
+    both = pairs.select(F.explode(ways).alias("_w"), "dist").select("_w.*", "dist")
+    # no pair has an image with itself, so what ranks after the last cut can't move up to it
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "image_id"))).filter(F.col("rank") <= max(E.CUTS))
     rows = grids(spark, sf_dir)
     found = E.quality(ranked, rows.select("image_id", F.col("label").alias("family")), asked=rows.select(F.col("image_id").alias("query_id")))
     return found.select("n", *(F.round(f"hit_{k}", 6).alias(f"hit_{k}") for k in E.CUTS))

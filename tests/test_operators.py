@@ -156,3 +156,9 @@ def test_banded_self_join_writes_no_values_around_hashes(spark):
     """At a distance of 17 a hash has 6,428 values around it in its bands."""
     plan = catalogue.queries()["q09_hamming_selfjoin_banded"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "value#" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_hits_by_hash_compare_hashes_once_and_keep_what_the_cuts_need(spark):
+    plan = catalogue.queries()["q34c_family_hit_by_hash"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "WindowGroupLimit [query_id" in plan
