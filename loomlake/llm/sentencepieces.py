@@ -3,8 +3,8 @@
 The model's protobuf is read field by field; its normaliser, white-space marker, scores and byte pieces are rebuilt as a
 tokenizers pipeline, whose ids are the result. Where no piece goes on past a marker, a text is split before each run of
 blanks, and the distinct parts of a batch are encoded in multithreaded batches. A marker in a text is a blank to the model,
-so it is one here too. Each distinct part is also encoded by sentencepiece, and so is one whole text of WHOLE_EVERY, by the
-texts' checksums: parity says whether both agreed on all that was compared of a text. It changes no ids.
+so it is one here too. Every whole text is also encoded by sentencepiece: parity says whether both agreed on it. It changes
+no ids.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ SLICE_BYTES = 4 << 20
 THREADS = 2
 CACHE_PARTS = 400_000
 CACHE_PART_CHARS = 48
-#: Every which text is compared with sentencepiece as a whole as well as by parts.
-WHOLE_EVERY = 64
+#: Of so many texts one is compared with sentencepiece as a whole, so each one is.
+WHOLE_EVERY = 1
 _PARTS = re.compile(r" +[^ ]*")
 
 
@@ -124,7 +124,7 @@ class Encoder:
         self.by_parts = self.model.splits()
         #: A blank at a text's end, which is a part without anything after its marker.
         self.last = self.backend.token_to_id(MARK)
-        self.known: dict[str, tuple[bytes, bool, bool]] = {}
+        self.known: dict[str, tuple[bytes, bool]] = {}
 
     def parts(self, text: str) -> list[str]:
         """Each without the blank before it, which encoding adds."""
@@ -132,14 +132,9 @@ class Encoder:
 
     def _encode(self, parts: list[str]) -> None:
         ours = [e.ids for e in self.backend.encode_batch_fast(parts, add_special_tokens=False)]
-        theirs = self.other.encode(parts, num_threads=1)
         back = self.backend.decode_batch(ours, skip_special_tokens=False)
-        for part, a, b, text in zip(parts, ours, theirs, back):
-            self.known[part] = (array("I", a).tobytes(), a == b, text == part) if part else (array("I", [self.last]).tobytes(), self.last == self.other.piece_to_id(MARK), True)
-
-    def _same_as_whole(self, text: str, ids: bytes) -> bool:
-        """Whether sentencepiece gives the same for the whole text, or the text isn't one of those compared so."""
-        return zlib.crc32(text.encode("utf-8", "surrogatepass")) % WHOLE_EVERY != 0 or array("I", self.other.encode(text)).tobytes() == ids
+        for part, a, text in zip(parts, ours, back):
+            self.known[part] = (array("I", a).tobytes(), text == part) if part else (array("I", [self.last]).tobytes(), True)
 
     def each(self, texts: list[str | None]) -> list[tuple[bytes, bool, bool]]:
         """ids (unsigned 32-bit), parity and round trip of each text."""
@@ -148,11 +143,12 @@ class Encoder:
         if new:
             self._encode(list(new))
         out = []
-        for t, s in zip(texts, split):
+        theirs = self.other.encode([t or "" for t in texts], num_threads=1)
+        for t, s, whole in zip(texts, split, theirs):
             found = [self.known[p] for p in s]
             ids = b"".join([x[0] for x in found])
-            same = all([x[1] for x in found]) and (not t or self._same_as_whole(t, ids))
-            out.append((ids, same, all([x[2] for x in found]) and MARK not in (t or "")))
+            same = not t or array("I", whole).tobytes() == ids
+            out.append((ids, same, all([x[1] for x in found]) and MARK not in (t or "")))
         full = len(self.known) > CACHE_PARTS
         for part in new if full else [p for p in new if len(p) > CACHE_PART_CHARS]:
             del self.known[part]
