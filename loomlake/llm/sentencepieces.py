@@ -2,8 +2,8 @@
 
 The model's protobuf is read field by field; its normaliser, white-space marker, scores and byte pieces are rebuilt as a
 tokenizers pipeline, whose ids are the result. Where no piece goes on past a marker, a text is split before each run of
-blanks, and the distinct parts of a batch are encoded in multithreaded batches. A marker in a text is a blank to the model,
-so it is one here too. Every whole text is also encoded by sentencepiece: parity says whether both agreed on it. It changes
+blanks, and the distinct parts of a batch are encoded, many in a line: a piece that begins with a marker begins a part. A
+marker in a text is a blank to the model, so it is one here too. Every whole text is also encoded by sentencepiece: parity says whether both agreed on it. It changes
 no ids.
 """
 
@@ -17,6 +17,7 @@ from array import array
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -27,7 +28,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 SLICE_BYTES = 4 << 20
-THREADS = 2
+#: Parts that are encoded in a line, with blanks between.
+TOGETHER = 64
 CACHE_PARTS = 400_000
 CACHE_PART_CHARS = 48
 #: Of so many texts one is compared with sentencepiece as a whole, so each one is.
@@ -113,8 +115,7 @@ class Model:
 
 class Encoder:
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
         import sentencepiece
 
         with open(path, "rb") as f:
@@ -124,17 +125,48 @@ class Encoder:
         self.by_parts = self.model.splits()
         #: A blank at a text's end, which is a part without anything after its marker.
         self.last = self.backend.token_to_id(MARK)
-        self.known: dict[str, tuple[bytes, bool]] = {}
+        self.begins = np.array([p.startswith(MARK) for p, *_ in self.model.pieces], bool)
+        self.known: dict[str, bytes] = {}
+        #: Known parts that decoding doesn't give back.
+        self.odd: set[str] = set()
 
     def parts(self, text: str) -> list[str]:
         """Each without the blank before it, which encoding adds."""
-        return [p[1:] for p in _PARTS.findall(" " + text.replace(MARK, " "))] if self.by_parts and text else [text] if text else []
-
-    def _encode(self, parts: list[str]) -> None:
+        if not self.by_parts or not text:
+            return [text] if text else []
+        text = text.replace(MARK, " ")
+        if text[0] != " " and "  " not in text:
+            return text.split(" ")
+        return [p[1:] for p in _PARTS.findall(" " + text)]
+
+    def _encode_each(self, parts: list[str]) -> None:
         ours = [e.ids for e in self.backend.encode_batch_fast(parts, add_special_tokens=False)]
         back = self.backend.decode_batch(ours, skip_special_tokens=False)
-        for part, a, text in zip(parts, ours, back):
-            self.known[part] = (array("I", a).tobytes(), text == part) if part else (array("I", [self.last]).tobytes(), True)
+        for part, ids, text in zip(parts, ours, back):
+            self.known[part] = array("I", ids).tobytes() if part else array("I", [self.last]).tobytes()
+            if part and text != part:
+                self.odd.add(part)
+
+    def _encode(self, parts: list[str]) -> None:
+        """Parts without blanks are encoded TOGETHER; in such a line no piece but a part's first has a marker."""
+        if not self.by_parts or self.model.kind != BPE:
+            return self._encode_each(parts)
+        plain = [p for p in parts if p and p[0] != " "]
+        alone = [p for p in parts if not p or p[0] == " "]
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        lines = [" ".join(g) for g in groups]
+        ours = [e.ids for e in self.backend.encode_batch_fast(lines, add_special_tokens=False)]
+        for group, line, ids, text in zip(groups, lines, ours, self.backend.decode_batch(ours, skip_special_tokens=False)):
+            held = np.array(ids, np.uint32)
+            at = np.flatnonzero(self.begins[held])
+            if text != line or len(at) != len(group) or at[0]:
+                alone += group
+                continue
+            data, at = held.tobytes(), [*(4 * at).tolist(), 4 * len(held)]
+            for part, i, j in zip(group, at, at[1:]):
+                self.known[part] = data[i:j]
+        if alone:
+            self._encode_each(alone)
 
     def each(self, texts: list[str | None]) -> list[tuple[bytes, bool, bool]]:
         """ids (unsigned 32-bit), parity and round trip of each text."""
@@ -143,15 +175,15 @@ class Encoder:
         if new:
             self._encode(list(new))
         out = []
-        theirs = self.other.encode([t or "" for t in texts], num_threads=1)
-        for t, s, whole in zip(texts, split, theirs):
-            found = [self.known[p] for p in s]
-            ids = b"".join([x[0] for x in found])
-            same = not t or array("I", whole).tobytes() == ids
-            out.append((ids, same, all([x[1] for x in found]) and MARK not in (t or "")))
+        get = self.known.__getitem__
+        for t, s in zip(texts, split):
+            ids = b"".join(map(get, s))
+            same = not t or array("I", self.other.encode([t], num_threads=1)[0]).tobytes() == ids
+            out.append((ids, same, self.odd.isdisjoint(s if self.odd else ()) and MARK not in (t or "")))
         full = len(self.known) > CACHE_PARTS
         for part in new if full else [p for p in new if len(p) > CACHE_PART_CHARS]:
             del self.known[part]
+            self.odd.discard(part)
         return out
 
 

@@ -207,3 +207,25 @@ def test_parity_is_of_every_whole_text(tokenizers_path):
     texts = [f"two{i} words" if i % 2 else f"one{i}" for i in range(300)]
     encoder.other = Other()
     assert [same for _, same, _ in encoder.each(texts)] == [not i % 2 for i in range(300)]
+
+
+def test_distinct_parts_are_encoded_in_lines(tokenizers_path):
+    """The backend gets a line for many parts, and each part has the ids that it has alone."""
+    encoder = sentencepieces.Encoder(tokenizers_path("piece_bpe_32k.model"))
+    backend, given = encoder.backend, []
+
+    class Counted:
+        def encode_batch_fast(self, x, **how):
+            given.extend(x)
+            return backend.encode_batch_fast(x, **how)
+
+        def decode_batch(self, x, **how):
+            return backend.decode_batch(x, **how)
+
+    encoder.backend = Counted()
+    rng = random.Random(13)
+    words = sorted({"".join(rng.choice("abÉ.,9中\n\x00🙂<>") for _ in range(rng.randrange(1, 9))) for _ in range(2000)})
+    (ids, parity, back), *_ = encoder.each([" ".join(words) + "  two  blanks "])
+    assert parity and back and len(given) < len(words) / 32
+    for w in words:
+        assert np.frombuffer(encoder.known[w], "<u4").tolist() == backend.encode(w, add_special_tokens=False).ids, w
