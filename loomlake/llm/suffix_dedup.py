@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import Prefix, mix
-from .util import byte_slices, cut, fresh, give_back, small
+from .util import by_key, byte_slices, cut, fresh, give_back, small
 
 LENGTH = 100
 GRAM = 32
@@ -305,7 +305,7 @@ def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["g", "d", "th", "a", "n", "context", "w"])
 
     held = wanted.groupBy(F.col("d").alias("_d"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("g", "a", "n", "split")).alias("runs"))
-    rows = texts.join(held, (F.col("d") == F.col("_d")) & (F.col("th") == F.col("_th"))).select("d", "th", "text", "runs")
+    rows = texts.join(by_key(held), (F.col("d") == F.col("_d")) & (F.col("th") == F.col("_th"))).select("d", "th", "text", "runs")
     return rows.mapInArrow(run, "g bigint, d bigint, th bigint, a bigint, n int, context binary, w binary")
 
 
@@ -326,7 +326,7 @@ def covered_windows(rows: DataFrame) -> DataFrame:
     by_order = groups.mapInArrow(_order, "d bigint, th bigint, a bigint, n int")
     windows = contexts.filter("context is null").select("w", "d", "th", "a", "n")
     least = windows.groupBy(F.col("w").alias("_w")).agg(F.min(F.struct("d", "th", "a")).alias("least"), F.max(F.struct("d", "th", "a")).alias("most")).filter("least <> most")
-    by_window = windows.join(least, F.col("w") == F.col("_w")).filter(F.struct("d", "th", "a") != F.col("least")).select("d", "th", "a", "n")
+    by_window = windows.join(by_key(least), F.col("w") == F.col("_w")).filter(F.struct("d", "th", "a") != F.col("least")).select("d", "th", "a", "n")
     return sifted.filter(F.col("kind") == COVERED).select("d", "th", "a", "n").unionByName(by_order).unionByName(by_window)
 
 
@@ -347,7 +347,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str
     found = covered_windows(_identified(docs, id_col, text_col)).groupBy(F.col("d").alias(d), F.col("th").alias(th)).agg(F.collect_list(F.struct("a", "n")).alias(runs))
     text = F.coalesce(docs[text_col], F.lit(""))
     same = (F.coalesce(docs[id_col].cast("bigint"), F.lit(_NO_ID)) == F.col(d)) & (F.xxhash64(text) == F.col(th))
-    return docs.join(found, same, "left").drop(d, th), runs
+    return docs.join(by_key(found), same, "left").drop(d, th), runs
 
 
 def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -94,3 +94,12 @@ def test_near_dedup_stage_broadcasts_no_table_by_estimate(spark):
     out = corpus_pipeline.minhash_near_dedup(spark, docs, "")
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.doc_id for r in out.collect()) == sorted([1, *range(0, 40, 2)])
+
+
+def test_suffix_stage_broadcasts_no_table_by_estimate(spark):
+    """Spans and windows are read from written tables, which Spark takes by their compressed size."""
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = documents(spark, [(i, f"{i} {text}") for i in range(6)])
+    out = corpus_pipeline.suffix_array_dedup(spark, docs, "")
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: len(r.text) for r in out.collect()} == {i: len(f"{i} {text}") if i == 0 else 1 for i in range(6)}
